@@ -25,7 +25,8 @@ def range_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
     made = F.array(*[F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, cut, strict=True)]) for cut in cuts])
-    return F.size(F.filter(made, lambda cut: cut <= F.struct(*keys)))
+    # the key is bound once: as a free column of the lambda its expression would be evaluated for each boundary
+    return F.transform(F.array(F.struct(*keys)), lambda key: F.size(F.filter(made, lambda cut: cut <= key)))[0]
 
 
 def with_global_order(df: DataFrame, keys: list[str], weight: str, ranges: int = 256, sample: int = 8192) -> tuple[DataFrame, int, int]:
