@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontam, exact_dedup, langid, packing, secrets, sharding, token_files
+from quarry.llm import chat, decontam, exact_dedup, langid, near_dup, packing, secrets, sharding, token_files
 from quarry.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_chat_perspectives, op4_pigeonhole_decontam, op5_crf_langid, op6_secret_ledger, op8_cost_packing, op9_bit_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_probminhash, op3_chat_perspectives, op4_pigeonhole_decontam, op5_crf_langid, op6_secret_ledger, op8_cost_packing, op9_bit_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
