@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontam, exact_dedup, langid, near_dup, packing, secrets, sharding, token_files
+from quarry.llm import chat, decontam, exact_dedup, langid, near_dup, packing, secrets, sharding, suffix_dedup, token_files
 from quarry.llm.common import documents
 
 
@@ -41,6 +41,10 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -54,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_probminhash, op3_chat_perspectives, op4_pigeonhole_decontam, op5_crf_langid, op6_secret_ledger, op8_cost_packing, op9_bit_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_probminhash, op3_chat_perspectives, op4_pigeonhole_decontam, op5_crf_langid, op6_secret_ledger, op7_suffix_dedup, op8_cost_packing, op9_bit_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
