@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, materialize, pieces
@@ -164,12 +164,33 @@ def setter(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
             for ids, counts in shingles(*word_hashes(part["text"].tolist()), words):
                 ids, inverse = np.unique((ids >> np.uint64(32)).astype("<u4"), return_inverse=True)
                 counts = np.minimum(np.bincount(inverse, counts, len(ids)), 65_535)
-                rows.append((ids.tobytes(), counts.astype("<u2").tobytes()))
-            yield pd.DataFrame({"node": part["doc_id"], "ids": [r[0] for r in rows], "counts": [r[1] for r in rows]})
+                rows.append((ids.tobytes(), counts.astype("<u2").tobytes(), len(ids), float(weight(counts).sum())))
+            yield pd.DataFrame({"node": part["doc_id"], **{c: [r[k] for r in rows] for k, c in enumerate(("ids", "counts", "size", "mass"))}})
 
     return make
 
 
+def elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each shingle of a node, with its weight."""
+    for f in frames:
+        for node, ids, counts in zip(f["node"], f["ids"], f["counts"], strict=True):
+            yield pd.DataFrame({"node": node, "id": np.frombuffer(ids, "<u4").astype(np.int64), "weight": weight(np.frombuffer(counts, "<u2"))})
+
+
+def own_shares(sets: DataFrame) -> DataFrame:
+    """node, own_plain, own_weighted: the shares of a node's shingles, and of their weight, that no other node of sets has."""
+    listed = sets.mapInPandas(elements, "node long, id long, weight double")
+    alone = listed.groupBy("id").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("w")).filter("n = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("_n"), F.sum("w").alias("_w"))
+    share = lambda part, whole: F.coalesce(F.col(part) / F.col(whole), F.lit(0.0))
+    return sets.select("node", "size", "mass").join(alone, "node", "left").select("node", share("_n", "size").alias("own_plain"), share("_w", "mass").alias("own_weighted"))
+
+
+def most(a: Column, b: Column) -> Column:
+    """What probability Jaccard of two sets can be at most if shares a and b of them have no counterpart."""
+    return (1 - a) * (1 - b) / F.greatest(1 - a * b, F.lit(1e-12))
+
+
 def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         found = [
@@ -211,8 +232,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     1. each bucket's smallest node against the others (a star),
     2. nodes that it didn't take in against three more nodes that it did,
-    3. what is still apart in a bucket, pair by pair, but for pairs that the triangle inequality of both distances
-       to the bucket's smallest node excludes, and pairs that are in one class already.
+    3. what is still apart in a bucket, pair by pair, but for pairs in one class already and pairs that can't be
+       similar enough: by the triangle inequality of their distances to the bucket's smallest node, or because too
+       much of either text is in no other text that is apart (see `most`; plain Jaccard is the case of equal weights).
 
     So a group of near copies costs a few pairs for each member, and no link between classes is lost.
 
@@ -231,7 +253,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     star = materialize(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
     wanted = materialize(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    sets = materialize(known.join(wanted, "doc_id", "left_semi").mapInPandas(setter(words), "node long, ids binary, counts binary"), "sets")
+    sets = materialize(known.join(wanted, "doc_id", "left_semi").mapInPandas(setter(words), "node long, ids binary, counts binary, size long, mass double"), "sets")
     linked = (F.col("plain") >= similarity) | (F.col("weighted") >= similarity)
     first = materialize(verify(star, sets), "verified")
     labels = components(first.filter(linked))
@@ -257,8 +279,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     apart = placed.groupBy("bucket").agg(F.min("class_id").alias("_low"), F.max("class_id").alias("_high")).filter("_low < _high").select("bucket")
     far = placed.join(apart, "bucket", "left_semi").join(first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "plain", "weighted"), ["pivot", "node"], "left")
     far = materialize(far.select("bucket", "node", "class_id", F.coalesce(1 - F.col("plain"), F.lit(0.0)).alias("plain"), F.coalesce(1 - F.col("weighted"), F.lit(0.0)).alias("weighted")), "apart")
+    least = similarity - 1e-6
+    shares = materialize(own_shares(sets.join(far.select("node").distinct(), "node", "left_semi")), "shares")
+    far = far.join(shares, "node").filter((1 - F.col("own_plain") >= least) | (1 - F.col("own_weighted") >= least))
     left, right, slack = far.alias("l"), far.alias("r"), 1 - similarity + 1e-6
-    near = (F.abs(F.col("l.plain") - F.col("r.plain")) <= slack) | (F.abs(F.col("l.weighted") - F.col("r.weighted")) <= slack)
+    possible = lambda kind: (F.abs(F.col(f"l.{kind}") - F.col(f"r.{kind}")) <= slack) & (most(F.col(f"l.own_{kind}"), F.col(f"r.own_{kind}")) >= least)
+    near = possible("plain") | possible("weighted")
     tried = first.select("a", "b").unionByName(second.select("a", "b"))
     rest = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.class_id") != F.col("r.class_id")) & near)
     rest = rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
