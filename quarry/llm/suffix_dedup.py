@@ -1,16 +1,16 @@
 """Removal of repeated passages by suffix arrays (operator 7).
 
 Every 50-byte string goes to the shard of its minimizer, the least hash of its 16-byte grams, so equal strings meet.
-Neighbouring strings with one minimizer travel as one fragment. A task first drops fragments that it has seen in a
-smaller document, so a passage that many documents share leaves each task once. A shard sorts the suffixes of the
-fragments whose minimizer occurs in several documents (Larsson-Sadakane doubling), takes common prefixes of neighbours
-(Kasai), and merges with the next shards of the same minimizer by binary search.
+Minimizers go first, as 32-bit hashes; neighbouring strings whose minimizer occurs in several documents then follow as
+one fragment. A group of documents first drops fragments that it has seen in a smaller document, so a passage that many
+documents share leaves each group once. A shard sorts the suffixes of its fragments (Larsson-Sadakane doubling), takes
+common prefixes of neighbours (Kasai), and merges with the next shards of the same minimizer by binary search.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pieces, utf8
+from quarry.llm.common import utf8
 from quarry.llm.near_dup import BASE, INVERSE, STEPS, mix
 from quarry.llm.tokenize import spread
 
@@ -145,83 +145,144 @@ def unpacked(payload: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-FRAGMENTS, SPANS = ("<u8", "<i8", "<u4", "<u4", "u1"), ("<i8", "<u4", "<u4")
-
-
-def fragments(docs: list[bytes], ids: np.ndarray, shards: int) -> tuple[list[tuple[int, bytes]], list[np.ndarray]]:
-    """Fragments of documents in ascending order of id, packed by shard; and repeats that are plain from these alone."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    raw = np.frombuffer(b"".join(docs) + bytes(64), np.uint8)
-    begins = np.cumsum(sizes) - sizes
-    word = words(raw)
-    least = mix(word[:-8] * STEPS[0] ^ mix(word[8:] + STEPS[1]))
-    del word
-    span, grams = 1, DEPTH - GRAM + 1
-    while span < grams:
-        step = min(span, grams - span)
-        least = np.minimum(least[:-step], least[step:])
-        span += step
-    counts = np.maximum(sizes - DEPTH + 1, 0)
-    opens = spread(begins, counts)
-    least = least[opens]
-    if not len(opens):
-        return [], [np.zeros(0, np.int64)] * 3
-    heads = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (opens[1:] != opens[:-1] + 1)])
-    start, size, minimizer = opens[heads], np.diff(heads, append=len(opens)) + DEPTH - 1, least[heads]
-    owner = np.searchsorted(begins + sizes, start, "right")
-    del opens, least
-
-    powers = np.multiply.accumulate(np.full(len(raw) + 1, BASE, np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-    hashed = (sums[start + size] - sums[start]) * np.multiply.accumulate(np.full(len(raw) + 1, INVERSE, np.uint64))[start]
-    del powers, sums
-    order = np.lexsort((np.arange(len(start)), hashed))
-    first = np.flatnonzero(np.r_[True, hashed[order][1:] != hashed[order][:-1]])
-    earliest = np.empty(len(start), np.int64)
-    earliest[order] = np.repeat(order[first], np.diff(first, append=len(order)))
-    flat = raw.tobytes()
-    again = ids[owner] > ids[owner[earliest]]
-    for i in np.flatnonzero(again):
-        j = earliest[i]
-        again[i] = flat[start[i] : start[i] + size[i]] == flat[start[j] : start[j] + size[j]]
-    local = start - begins[owner]
-    plain = [ids[owner[again]], local[again], size[again]]
-    sent = np.flatnonzero(~again)
-    shard = (mix(minimizer[sent] + STEPS[2]) % np.uint64(shards)).astype(np.int64)
-    sent, shard = sent[np.argsort(shard, kind="stable")], np.sort(shard)
-    out = []
-    for chosen in np.split(sent, np.flatnonzero(np.diff(shard)) + 1):
-        at = int((mix(minimizer[chosen[:1]] + STEPS[2]) % np.uint64(shards))[0])
-        out.append((at, packed(minimizer[chosen].astype("<u8"), ids[owner[chosen]].astype("<i8"), local[chosen].astype("<u4"), size[chosen].astype("<u4"), raw[spread(start[chosen], size[chosen])])))
-    return out, plain
-
-
-def cutter(shards: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = 0
-        for part in pieces(frames, "text", 4_000_000):
-            part = part.sort_values("doc_id", kind="stable")
-            sent, plain = fragments(part["text"].tolist(), part["doc_id"].to_numpy(np.int64), shards)
-            rows = [(at, 0, payload) for at, payload in sent]
-            if len(plain[0]):
-                rows.append((turn * 7919 % shards, 1, packed(plain[0].astype("<i8"), plain[1].astype("<u4"), plain[2].astype("<u4"))))
-            turn += 1
-            yield pd.DataFrame(rows, columns=["shard", "kind", "payload"])
-
-    return cut
-
-
-def repeats(payloads: list[bytes]) -> list[np.ndarray]:
-    """Spans (document, start, length) of strings that start in a smaller document, among the fragments of a shard."""
-    columns = [np.concatenate(c) for c in zip(*(unpacked(p, *FRAGMENTS) for p in payloads), strict=True)]
-    minimizer, doc, start, size, raw = columns
-    size = size.astype(np.int64)
+FRAGMENTS, SPANS = ("<u4", "<i8", "<i4", "<i4", "u1"), ("<i8", "<u4", "<u4")
+
+
+class Runs:
+    """The documents of one owner group, in ascending order of id, as runs of strings that share a minimizer."""
+
+    def __init__(self, docs: list[bytes], ids: np.ndarray, shards: int) -> None:
+        sizes = np.array([len(d) for d in docs], np.int64)
+        self.raw = raw = np.frombuffer(b"".join(docs) + bytes(64), np.uint8)
+        self.ids, self.begins = ids, np.cumsum(sizes) - sizes
+        word = words(raw)
+        least = mix(word[:-8] * STEPS[0] ^ mix(word[8:] + STEPS[1]))
+        del word
+        span, grams = 1, DEPTH - GRAM + 1
+        while span < grams:
+            step = min(span, grams - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        opens = spread(self.begins, np.maximum(sizes - DEPTH + 1, 0))
+        least = least[opens]
+        heads = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (opens[1:] != opens[:-1] + 1)]) if len(opens) else np.zeros(0, np.int64)
+        self.start, self.size = opens[heads], np.diff(heads, append=len(opens)) + DEPTH - 1
+        self.owner = np.searchsorted(self.begins + sizes, self.start, "right")
+        # a minimizer is known by its shard and 32 bits; two that share these only cost work
+        hashed = mix(least[heads] + STEPS[2])
+        self.key = (hashed % np.uint64(shards)) << np.uint64(32) | hashed >> np.uint64(32)
+        self.keys, self.of_run = np.unique(self.key, return_inverse=True)
+        self.shard = (self.keys >> np.uint64(32)).astype(np.int64)
+        self.cuts = np.flatnonzero(np.diff(self.shard)) + 1
+
+    def several(self) -> np.ndarray:
+        """For each of keys: whether it occurs in more than one document here."""
+        low, high = np.full(len(self.keys), NONE), np.full(len(self.keys), -NONE)
+        doc = self.ids[self.owner]
+        np.minimum.at(low, self.of_run, doc)
+        np.maximum.at(high, self.of_run, doc)
+        return low != high
+
+    def first(self, chosen: np.ndarray) -> np.ndarray:
+        """For each of the chosen runs: its first equal among them, which has the smallest id."""
+        raw, start, size = self.raw, self.start[chosen], self.size[chosen]
+        powers = np.multiply.accumulate(np.full(len(raw) + 1, BASE, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
+        hashed = (sums[start + size] - sums[start]) * np.multiply.accumulate(np.full(len(raw) + 1, INVERSE, np.uint64))[start]
+        order = np.argsort(hashed, kind="stable")
+        head = np.flatnonzero(np.r_[True, hashed[order][1:] != hashed[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        out = np.empty(len(start), np.int64)
+        out[order] = np.repeat(order[head], np.diff(head, append=len(order)))
+        flat = raw.tobytes()
+        for i in np.flatnonzero(out != np.arange(len(out))):
+            j = out[i]
+            if flat[start[i] : start[i] + size[i]] != flat[start[j] : start[j] + size[j]]:
+                out[i] = i
+        return out
+
+
+def group_runs(frame: pd.DataFrame, shards: int) -> Runs:
+    frame = frame[frame["doc_id"].notna()].sort_values("doc_id", kind="stable")
+    return Runs(frame["text"].tolist(), frame["doc_id"].to_numpy(np.int64), shards)
+
+
+def lister(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Minimizers of an owner group for each shard, as sorted differences, and which occur in several of its documents."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        runs, owner = group_runs(frame, shards), int(frame["owner"].iloc[0])
+        several, rows = runs.several(), []
+        for at in np.split(np.arange(len(runs.keys)), runs.cuts) if len(runs.keys) else []:
+            low = (runs.keys[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            rows.append((int(runs.shard[at[0]]), owner, packed(np.diff(low, prepend=0).astype("<u4"), np.packbits(several[at]))))
+        return pd.DataFrame(rows, columns=["shard", "owner", "payload"])
+
+    return run
+
+
+def find_shared(frame: pd.DataFrame) -> pd.DataFrame:
+    """For each owner's minimizers of a shard, in order: whether they occur in several documents of all."""
+    lists, several = [], []
+    for payload in frame["payload"]:
+        steps, bits = unpacked(payload, "<u4", "u1")
+        lists.append(np.cumsum(steps.astype(np.int64)))
+        several.append(np.unpackbits(bits)[: len(steps)].astype(bool))
+    every = np.concatenate(lists)
+    keys, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = (count > 1) | (np.bincount(inverse, np.concatenate(several), len(keys)) > 0)
+    ends = np.cumsum([len(x) for x in lists])
+    found = np.split(shared[inverse], ends[:-1])
+    return pd.DataFrame({"owner": frame["owner"], "shard": frame["shard"], "bits": [packed(np.packbits(x)) for x in found]})
+
+
+def sender(shards: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Fragments of an owner group that hold shared minimizers, by shard (kind 0), and spans that are plain here (kind 1)."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["shard", "owner", "kind", "payload"]
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=columns)
+        runs, owner = group_runs(left, shards), int(left["owner"].iloc[0])
+        bits = dict(zip(right["shard"], right["bits"], strict=True))
+        shared = np.zeros(len(runs.keys), bool)
+        for at in np.split(np.arange(len(runs.keys)), runs.cuts):
+            shared[at] = np.unpackbits(unpacked(bits[int(runs.shard[at[0]])], "u1")[0])[: len(at)]
+        chosen = np.flatnonzero(shared[runs.of_run])
+        first = runs.first(chosen)
+        doc = runs.ids[runs.owner[chosen]]
+        again = doc > doc[first]
+        local, size = runs.start[chosen] - runs.begins[runs.owner[chosen]], runs.size[chosen]
+        rows = []
+        if again.any():
+            rows.append((owner % shards, owner, 1, packed(doc[again].astype("<i8"), local[again].astype("<u4"), size[again].astype("<u4"))))
+        sent = np.flatnonzero(~again)
+        key = runs.key[chosen[sent]]
+        order = np.argsort(key >> np.uint64(32), kind="stable")
+        sent, key = sent[order], key[order]
+        shard = (key >> np.uint64(32)).astype(np.int64)
+        for at in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(shard)) + 1):
+            if len(at):
+                s = sent[at]
+                payload = packed(key[at].astype("<u4"), np.diff(doc[s], prepend=0).astype("<i8"), np.diff(local[s], prepend=0).astype("<i4"), size[s].astype("<i4"), runs.raw[spread(runs.start[chosen[s]], size[s])])
+                rows.append((int(shard[at[0]]), owner, 0, payload))
+        return pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def repeats(payloads: list[bytes], owners: list[int]) -> list[np.ndarray]:
+    """Spans (document, start, length, owner) of strings that start in a smaller document, among the fragments of a shard."""
+    tables = []
+    for payload, owner in zip(payloads, owners, strict=True):
+        minimizer, doc, start, size, raw = unpacked(payload, *FRAGMENTS)
+        tables.append((minimizer, np.cumsum(doc), np.cumsum(start.astype(np.int64)), size.astype(np.int64), raw, np.full(len(doc), owner)))
+    minimizer, doc, start, size, raw, owner = (np.concatenate(c) for c in zip(*tables, strict=True))
     begin = np.cumsum(size) - size
     order = np.argsort(minimizer, kind="stable")
     heads = np.flatnonzero(np.r_[True, minimizer[order][1:] != minimizer[order][:-1]])
     shared = np.minimum.reduceat(doc[order], heads) != np.maximum.reduceat(doc[order], heads)
     chosen = order[np.repeat(shared, np.diff(heads, append=len(order)))]
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 3]
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
     # fragments longer than a suffix array are cut so that the parts overlap in all but one byte of a string
     long = size[chosen] > SHARD // 2
     if long.any():
@@ -233,7 +294,7 @@ def repeats(payloads: list[bytes]) -> list[np.ndarray]:
         size_c = np.minimum(size[chosen] - nth * step, np.where(np.repeat(long, parts), SHARD // 2, size[chosen]))
     else:
         begin_c, start_c, size_c = begin[chosen], start[chosen].astype(np.int64), size[chosen]
-    minimizer, doc = minimizer[chosen], doc[chosen]
+    minimizer, doc, owner = minimizer[chosen], doc[chosen], owner[chosen]
     bounds, total = [0], 0
     for i, n in enumerate(size_c.tolist()):
         if total + n > SHARD:
@@ -257,7 +318,7 @@ def repeats(payloads: list[bytes]) -> list[np.ndarray]:
             length = np.diff(first, append=len(place)) + DEPTH - 1
             fragment, offset = fragment[first], place[first]
             offset = offset - (one.ends - size_c[rows])[fragment]
-            out.append([doc[rows][fragment], start_c[rows][fragment] + offset, length])
+            out.append([doc[rows][fragment], start_c[rows][fragment] + offset, length, owner[rows][fragment]])
         waiting.clear()
 
     for a, b in zip(bounds, bounds[1:], strict=False):
@@ -271,25 +332,17 @@ def repeats(payloads: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
-def owner_shard(ids: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-
-
-def searcher(owners: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [unpacked(p, *SPANS) for p in frame["payload"][frame["kind"] == 1]]
-        if len(sent := frame["payload"][frame["kind"] == 0].tolist()):
-            found.append(repeats(sent))
-        doc, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
-        to = owner_shard(doc, owners)
-        order = np.argsort(to, kind="stable")
-        rows = []
-        for chosen in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+def search(frame: pd.DataFrame) -> pd.DataFrame:
+    """Spans of a shard, by the owner group of their documents."""
+    fragments = frame["kind"] == 0
+    rows = [(int(o), p) for o, p in zip(frame["owner"][~fragments], frame["payload"][~fragments], strict=True)]
+    if fragments.any():
+        doc, start, size, owner = repeats(frame["payload"][fragments].tolist(), frame["owner"][fragments].tolist())
+        order = np.argsort(owner, kind="stable")
+        for chosen in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
             if len(chosen):
-                rows.append((int(to[chosen[0]]), packed(doc[chosen].astype("<i8"), start[chosen].astype("<u4"), size[chosen].astype("<u4"))))
-        return pd.DataFrame(rows, columns=["owner", "payload"])
-
-    return search
+                rows.append((int(owner[chosen[0]]), packed(doc[chosen].astype("<i8"), start[chosen].astype("<u4"), size[chosen].astype("<u4"))))
+    return pd.DataFrame(rows, columns=["owner", "payload"])
 
 
 def joined_spans(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,17 +391,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, bytes_per_shard: in
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     total = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(least_shards, int(total) // bytes_per_shard)
-    cut = slim.filter("doc_id is not null").mapInPandas(cutter(shards), "shard long, kind int, payload binary")
-    spans = cut.groupBy("shard").applyInPandas(searcher(shards), "owner long, payload binary")
-
-    @F.pandas_udf("long")
-    def owner(ids: pd.Series) -> pd.Series:
-        return pd.Series(owner_shard(ids.fillna(0).to_numpy(np.int64), shards))
-
-    kept = slim.withColumn("owner", owner("doc_id")).groupBy("owner").cogroup(spans.groupBy("owner")).applyInPandas(
+    # the same exchange of the texts by owner group serves all three steps that need them
+    owned = slim.withColumn("owner", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("owner")
+    listed = owned.applyInPandas(lister(shards), "shard long, owner long, payload binary")
+    shared = listed.groupBy("shard").applyInPandas(find_shared, "owner long, shard long, bits binary")
+    sent = owned.cogroup(shared.groupBy("owner")).applyInPandas(sender(shards), "shard long, owner long, kind int, payload binary")
+    spans = sent.groupBy("shard").applyInPandas(search, "owner long, payload binary")
+    return owned.cogroup(spans.groupBy("owner")).applyInPandas(
         remover_of(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     )
-    return kept
 
 
 def remover_of(with_text: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
