@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import baskets, eda, streams, texts  # noqa: F401
+from quarry.plans import baskets, eda, entities, networks, recommendations, streams, texts, vectors, windows  # noqa: F401
 from quarry.plans.registry import QUERIES, SQL
 
 
