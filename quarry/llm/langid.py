@@ -249,7 +249,9 @@ def keep_identified(docs: DataFrame, least: float = 0.4, per_language: int = 400
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(predict(model, texts.tolist())[1])
+        # in runs of bounded size: a batch has a fixed number of rows, however long
+        parts = [predict(model, part["text"].tolist())[1] for part in pieces(iter([texts.to_frame("text")]), "text")]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     spoken = F.when(F.col("text").rlike(r"\p{L}"), letters(F.col("text"))).otherwise(F.lit(""))
     return docs.filter(score(spoken) >= least)
