@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def read_events(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     """events as a stream of Parquet files."""
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need instants
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
