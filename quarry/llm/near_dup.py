@@ -164,31 +164,76 @@ def setter(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
             for ids, counts in shingles(*word_hashes(part["text"].tolist()), words):
                 ids, inverse = np.unique((ids >> np.uint64(32)).astype("<u4"), return_inverse=True)
                 counts = np.minimum(np.bincount(inverse, counts, len(ids)), 65_535)
-                rows.append((ids.tobytes(), counts.astype("<u2").tobytes(), len(ids), float(weight(counts).sum())))
-            yield pd.DataFrame({"node": part["doc_id"], **{c: [r[k] for r in rows] for k, c in enumerate(("ids", "counts", "size", "mass"))}})
+                rows.append((ids.tobytes(), counts.astype("<u2").tobytes()))
+            yield pd.DataFrame({"node": part["doc_id"], "ids": [r[0] for r in rows], "counts": [r[1] for r in rows]})
 
     return make
 
 
-def elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each shingle of a node, with its weight."""
-    for f in frames:
-        for node, ids, counts in zip(f["node"], f["ids"], f["counts"], strict=True):
-            yield pd.DataFrame({"node": node, "id": np.frombuffer(ids, "<u4").astype(np.int64), "weight": weight(np.frombuffer(counts, "<u2"))})
+BLOCK = 256  # nodes of a bucket that are compared with as many others at once
+
 
+def blocks_of(bucket: Column, node: Column, size: Column) -> Column:
+    """(left, right) of the block pairs that a node takes part in: its own block with each block of the bucket."""
+    count = F.ceil(size / F.lit(float(BLOCK))).cast("int")
+    own = F.pmod(F.xxhash64(node), count).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.least(own, i).alias("left"), F.greatest(own, i).alias("right"), own.alias("own")))
 
-def own_shares(sets: DataFrame) -> DataFrame:
-    """node, own_plain, own_weighted: the shares of a node's shingles, and of their weight, that no other node of sets has."""
-    listed = sets.mapInPandas(elements, "node long, id long, weight double")
-    alone = listed.groupBy("id").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("w")).filter("n = 1")
-    alone = alone.groupBy("node").agg(F.count("*").alias("_n"), F.sum("w").alias("_w"))
-    share = lambda part, whole: F.coalesce(F.col(part) / F.col(whole), F.lit(0.0))
-    return sets.select("node", "size", "mass").join(alone, "node", "left").select("node", share("_n", "size").alias("own_plain"), share("_w", "mass").alias("own_weighted"))
 
+def block_links(similarity: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links between nodes of different classes in two blocks (or one) of a bucket; only links become rows.
+
+    Shingles and weights that pairs have in common come from matrix products. Pairs that the distances to the bucket's
+    smallest node exclude aren't looked at, and exact similarities are computed where bounds leave them open.
+    """
 
-def most(a: Column, b: Column) -> Column:
-    """What probability Jaccard of two sets can be at most if shares a and b of them have no counterpart."""
-    return (1 - a) * (1 - b) / F.greatest(1 - a * b, F.lit(1e-12))
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("node").reset_index(drop=True)
+        left, right = int(f["left"].iloc[0]), int(f["right"].iloc[0])
+        rows, cols = np.flatnonzero(f["own"] == left), np.flatnonzero(f["own"] == right)
+        label, node = f["class_id"].to_numpy(), f["node"].to_numpy()
+        slack = 1 - similarity + 1e-6
+        near = np.zeros((len(rows), len(cols)), bool)
+        for kind in ("plain", "weighted"):
+            d = f[kind].to_numpy()
+            near |= np.abs(d[rows][:, None] - d[cols][None]) <= slack
+        near &= label[rows][:, None] != label[cols][None]
+        if left == right:
+            near &= node[rows][:, None] < node[cols][None]
+        if not near.any():
+            return pd.DataFrame([], columns=["a", "b", "plain", "weighted"])
+        ids = [np.frombuffer(x, "<u4") for x in f["ids"]]
+        counts = [np.frombuffer(x, "<u2") for x in f["counts"]]
+        sizes = np.array([len(x) for x in ids])
+        every, place = np.unique(np.concatenate(ids), return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        weights = [weight(c) for c in counts]
+        common, mass_a, mass_b = (np.zeros((len(rows), len(cols)), np.float32) for _ in range(3))
+        flat_weights = np.concatenate(weights)
+        for low in range(0, len(every), 4096):  # the matrices stay small whatever the texts' lengths
+            part = (place >= low) & (place < low + 4096)
+            table = np.zeros((len(ids), min(4096, len(every) - low)), np.float32)
+            table[owner[part], place[part] - low] = 1
+            common += table[rows] @ table[cols].T
+            heavy = np.zeros_like(table)
+            heavy[owner[part], place[part] - low] = flat_weights[part]
+            mass_a += heavy[rows] @ table[cols].T
+            mass_b += table[rows] @ heavy[cols].T
+        plain = common / np.maximum(sizes[rows][:, None] + sizes[cols][None] - common, 1)
+        total = np.maximum(np.array([w.sum() for w in weights]), 1e-12)
+        in_a, in_b = np.minimum(mass_a / total[rows][:, None], 1), np.minimum(mass_b / total[cols][None], 1)
+        # probability Jaccard is at most this, by Jensen's inequality, for shares in_a and in_b of the weights in common
+        at_most = in_a * in_b / np.maximum(1 - (1 - in_a) * (1 - in_b), 1e-12)
+        open_ = near & ((plain >= similarity - 1e-4) | (at_most >= similarity - 1e-4))
+        out = []
+        for i, j in zip(*np.nonzero(open_), strict=True):
+            x, y = rows[i], cols[j]
+            found = similarities(ids[x], counts[x], ids[y], counts[y])
+            if max(found) >= similarity:
+                out.append((min(node[x], node[y]), max(node[x], node[y]), *found))
+        return pd.DataFrame(out, columns=["a", "b", "plain", "weighted"])
+
+    return run
 
 
 def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,9 +277,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     1. each bucket's smallest node against the others (a star),
     2. nodes that it didn't take in against three more nodes that it did,
-    3. what is still apart in a bucket, pair by pair, but for pairs in one class already and pairs that can't be
-       similar enough: by the triangle inequality of their distances to the bucket's smallest node, or because too
-       much of either text is in no other text that is apart (see `most`; plain Jaccard is the case of equal weights).
+    3. what is still apart in a bucket, in blocks of BLOCK nodes against BLOCK, but for pairs in one class already and
+       pairs that the triangle inequality of both distances to the bucket's smallest node excludes. Only links found
+       become rows.
 
     So a group of near copies costs a few pairs for each member, and no link between classes is lost.
 
@@ -253,7 +298,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     star = materialize(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
     wanted = materialize(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    sets = materialize(known.join(wanted, "doc_id", "left_semi").mapInPandas(setter(words), "node long, ids binary, counts binary, size long, mass double"), "sets")
+    sets = materialize(known.join(wanted, "doc_id", "left_semi").mapInPandas(setter(words), "node long, ids binary, counts binary"), "sets")
     linked = (F.col("plain") >= similarity) | (F.col("weighted") >= similarity)
     first = materialize(verify(star, sets), "verified")
     labels = components(first.filter(linked))
@@ -279,16 +324,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     apart = placed.groupBy("bucket").agg(F.min("class_id").alias("_low"), F.max("class_id").alias("_high")).filter("_low < _high").select("bucket")
     far = placed.join(apart, "bucket", "left_semi").join(first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "plain", "weighted"), ["pivot", "node"], "left")
     far = materialize(far.select("bucket", "node", "class_id", F.coalesce(1 - F.col("plain"), F.lit(0.0)).alias("plain"), F.coalesce(1 - F.col("weighted"), F.lit(0.0)).alias("weighted")), "apart")
-    least = similarity - 1e-6
-    shares = materialize(own_shares(sets.join(far.select("node").distinct(), "node", "left_semi")), "shares")
-    far = far.join(shares, "node").filter((1 - F.col("own_plain") >= least) | (1 - F.col("own_weighted") >= least))
-    left, right, slack = far.alias("l"), far.alias("r"), 1 - similarity + 1e-6
-    possible = lambda kind: (F.abs(F.col(f"l.{kind}") - F.col(f"r.{kind}")) <= slack) & (most(F.col(f"l.own_{kind}"), F.col(f"r.own_{kind}")) >= least)
-    near = possible("plain") | possible("weighted")
-    tried = first.select("a", "b").unionByName(second.select("a", "b"))
-    rest = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.class_id") != F.col("r.class_id")) & near)
-    rest = rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    third = materialize(verify(rest, sets).filter(linked), "verified")
+    sized = far.join(far.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
+    dealt = sized.select("*", F.inline(blocks_of(F.col("bucket"), F.col("node"), F.col("size")))).drop("size")
+    grouped = dealt.join(sets, "node").groupBy("bucket", "left", "right")
+    third = materialize(grouped.applyInPandas(block_links(similarity), "a long, b long, plain double, weighted double").select("a", "b").distinct(), "verified")
     if not third.isEmpty():
         labels_2 = components(edges.unionByName(third))
     discard(star, wanted, sets)
