@@ -145,4 +145,4 @@ def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
     below = F.sum("n").over(Window.orderBy(score)) - F.col("n")
     ranked = by.withColumn("r", below + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
-    return sums.select("pos", "neg", ((F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
+    return sums.select("pos", "neg", F.try_divide(F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")).alias("auc"))

@@ -222,7 +222,7 @@ def common_neighbors_adamic_adar(t: Tables) -> DataFrame:
     return gr.link_scores(gr.cut(strong(t))).withColumn("adamic_adar", F.round("adamic_adar", 6))
 
 
-@query(f"WITH {STRONG}, {TWO}, {AA}, s AS (SELECT round(adamic_adar, 6) AS s, e.src IS NOT NULL AS pos FROM aa LEFT JOIN ed e USING (src, dst)), r AS (SELECT pos, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM s), c AS (SELECT count(*) FILTER (WHERE pos) AS pos, count(*) FILTER (WHERE NOT pos) AS neg, sum(r) FILTER (WHERE pos) AS s FROM r) SELECT pos, neg, round((s - pos * (pos + 1) / 2) / (pos * neg), 6) AS auc FROM c")
+@query(f"WITH {STRONG}, {TWO}, {AA}, s AS (SELECT round(adamic_adar, 6) AS s, e.src IS NOT NULL AS pos FROM aa LEFT JOIN ed e USING (src, dst)), r AS (SELECT pos, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM s), c AS (SELECT count(*) FILTER (WHERE pos) AS pos, count(*) FILTER (WHERE NOT pos) AS neg, sum(r) FILTER (WHERE pos) AS s FROM r) SELECT pos, neg, round((s - pos * (pos + 1) / 2) / nullif(pos * neg, 0), 6) AS auc FROM c")
 def link_auc(t: Tables) -> DataFrame:
     """How well Adamic-Adar tells links from other pairs."""
     e = gr.cut(strong(t))
