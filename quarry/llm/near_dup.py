@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     grouped = dealt.join(sets, "node").groupBy("bucket", "left", "right")
     third = materialize(grouped.applyInPandas(block_links(similarity), "a long, b long, plain double, weighted double").select("a", "b").distinct(), "verified")
     if not third.isEmpty():
-        labels_2 = components(edges.unionByName(third))
+        labels_2 = components(edges.select("a", "b").unionByName(third))
     discard(star, wanted, sets)
 
     of_node = labels_2.withColumnRenamed("class_id", "_class")
