@@ -92,6 +92,38 @@ def test_components_modularity_and_agreement(spark):
     assert same["ari"] == pytest.approx(1) and same["nmi"] == pytest.approx(1)
 
 
+#: Zachary's karate club: neighbours of larger number. Fixed values.
+KARATE = {
+    0: [1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31], 1: [2, 3, 7, 13, 17, 19, 21, 30], 2: [3, 7, 8, 9, 13, 27, 28, 32],
+    3: [7, 12, 13], 4: [6, 10], 5: [6, 10, 16], 6: [16], 8: [30, 32, 33], 9: [33], 13: [33], 14: [32, 33], 15: [32, 33], 18: [32, 33],
+    19: [33], 20: [32, 33], 22: [32, 33], 23: [25, 27, 29, 32, 33], 24: [25, 27, 31], 25: [31], 26: [29, 33], 27: [33], 28: [31, 33],
+    29: [32, 33], 30: [32, 33], 31: [32, 33], 32: [33],
+}
+
+
+def test_betweenness_and_girvan_newman_golden(spark):
+    edges = [(a, b) for a, bs in KARATE.items() for b in bs]
+    assert len(edges) == 78
+    df = spark.createDataFrame([(0, a, b, 1.0) for a, b in edges], "graph long, src long, dst long, weight double")
+    got = {(r["src"], r["dst"]): r["betweenness"] for r in graphs.edge_betweenness(df).collect()}
+    assert max(got, key=got.get) == (0, 31) and got[0, 31] == pytest.approx(71.3929, abs=1e-4) and len(got) == 78
+    near = {v: {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in range(34)}
+    assert graphs.betweenness_of(near) == pytest.approx(got)
+    best = graphs.girvan_newman(df).orderBy(F.desc("modularity")).first()
+    assert best["parts"] == 5 and best["modularity"] == pytest.approx(0.4013, abs=1e-4)
+
+
+def test_betweenness_of_no_edges(spark):
+    none = spark.createDataFrame([], "graph long, src long, dst long, weight double")
+    assert graphs.edge_betweenness(none).count() == 0 and graphs.girvan_newman(none).count() == 0
+
+
+def test_paired_bootstrap(spark):
+    each = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 2).cast("double").alias("d"))
+    row = recommend.paired_bootstrap(each, "k", "d", 300).first()
+    assert row["difference"] == 0.5 and 0.43 < row["low"] < 0.47 and 0.53 < row["high"] < 0.57
+
+
 def test_ranking_metrics_golden(spark):
     found = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "user int, item string, place int")
     row = recommend.ranking_metrics(found, spark.createDataFrame([(1, "b")], "user int, item string"), 2).first()
