@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text
 from quarry.operators import graphs, patterns, recommend, relational, sketches, vectors
 from quarry.operators import similarity as sm
+from quarry.plans import catalog
 from quarry.sources import files
 
 
@@ -118,6 +119,14 @@ def test_betweenness_of_no_edges(spark):
     assert graphs.edge_betweenness(none).count() == 0 and graphs.girvan_newman(none).count() == 0
 
 
+def test_graph_queries_without_sql_read_links_of_two_orders(spark, tmp_path):
+    rows = [(2 * a + k, s) for a in range(8) for k in range(2) for s in (a, (a + 1) % 8)] + [(99, 0), (99, 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.queries()
+    assert {r["id"] for r in found["spectral_clusters"](spark, str(tmp_path)).collect()} == set(range(8))
+    assert {r["word"] for r in found["walk_embedding"](spark, str(tmp_path)).collect()} == {str(s) for s in range(8)}
+
+
 def test_paired_bootstrap(spark):
     each = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 2).cast("double").alias("d"))
     row = recommend.paired_bootstrap(each, "k", "d", 300).first()
