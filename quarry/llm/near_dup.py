@@ -131,6 +131,14 @@ def similarities(ids_a: np.ndarray, counts_a: np.ndarray, ids_b: np.ndarray, cou
     return plain, float((1.0 / total).sum())
 
 
+def banded(signed: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit bucket for each band of each signature."""
+    table = np.zeros((len(signed), bands), np.uint64)
+    for j in range(rows):
+        table = mix(table * np.uint64(BASE) + signed.reshape(len(signed), bands, rows)[:, :, j])
+    return mix(table + np.arange(bands, dtype=np.uint64) * STEPS[0]).astype(np.int64)
+
+
 def signer(bands: int, rows: int, words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(frames, "text", 2_000_000):
@@ -139,11 +147,17 @@ def signer(bands: int, rows: int, words: int) -> Callable[[Iterator[pd.DataFrame
             sets = shingles(hashes, count, words)
             sizes = np.array([len(s[0]) for s in sets], np.int64)
             owner = np.repeat(np.arange(len(sets)), sizes)
-            signed = prob_minhash(np.concatenate([s[0] for s in sets]), owner, weight(np.concatenate([s[1] for s in sets])), len(sets), bands * rows)
-            table = np.zeros((len(sets), bands), np.uint64)
-            for j in range(rows):
-                table = mix(table * np.uint64(BASE) + signed.reshape(len(sets), bands, rows)[:, :, j])
-            table = mix(table + np.arange(bands, dtype=np.uint64) * STEPS[0]).astype(np.int64)
+            ids, counts = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
+            table = banded(prob_minhash(ids, owner, weight(counts), len(sets), bands * rows), bands, rows).tolist()
+            table = [t if n else [] for t, n in zip(table, sizes, strict=True)]
+            # where no shingle repeats both signatures are one; elsewhere the plain one's bands join the weighted one's
+            uneven = np.zeros(len(sets), bool)
+            uneven[owner[counts > 1]] = True
+            if uneven.any():
+                again = uneven[owner]
+                plain = prob_minhash(ids[again], (np.cumsum(uneven) - 1)[owner[again]], np.ones(again.sum()), int(uneven.sum()), bands * rows)
+                for i, more in zip(np.flatnonzero(uneven).tolist(), banded(plain, bands, rows).tolist(), strict=True):
+                    table[i] = list({*table[i], *more})
             ends = np.cumsum(count)
             place = np.arange(len(hashes), dtype=np.uint64)
             first = np.add.accumulate(hashes * mix(place - np.repeat((ends - count).astype(np.uint64), count) + STEPS[1]))
@@ -152,7 +166,7 @@ def signer(bands: int, rows: int, words: int) -> Callable[[Iterator[pd.DataFrame
             for sums in (first, second):
                 sums = np.concatenate([np.zeros(1, np.uint64), sums])
                 prints.append(mix(sums[ends] - sums[ends - count] + count.astype(np.uint64)).astype(np.int64))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "print_1": prints[0], "print_2": prints[1], "bands": [t if n else [] for t, n in zip(table.tolist(), sizes, strict=True)]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "print_1": prints[0], "print_2": prints[1], "bands": table})
 
     return sign
 
@@ -272,8 +286,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     """doc_id, class_id: classes of documents connected by links; the id of a class is its smallest doc_id.
 
     Two texts are linked if the Jaccard of their word shingles, or the probability Jaccard of these weighted by
-    1 + ln(count), is `similarity` or more. Texts with the same words are one node. Nodes that share a band are
-    candidates, and every class decision rests on exact similarities (of 32-bit shingle hashes):
+    1 + ln(count), is `similarity` or more. Texts with the same words are one node. Nodes that share a band of the
+    weighted or of the plain signature are candidates, so each kind of link has its own bands, and every class decision
+    rests on exact similarities (of 32-bit shingle hashes):
 
     1. each bucket's smallest node against the others (a star),
     2. nodes that it didn't take in against three more nodes that it did,

@@ -113,6 +113,18 @@ def test_near_duplicates(spark, docs, rows):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_that_differ_in_repeats_only(spark):
+    rows = []
+    for i in range(60):
+        cycle, tail = " ".join(f"c{i}x{j}" for j in range(10)), " ".join(f"t{i}x{j}" for j in range(40))
+        rows += [(2 * i, f"{cycle} {cycle} {tail}"), (2 * i + 1, " ".join([cycle] * 300) + " " + tail)]
+    (a, na), (b, nb) = near_dup.shingles(*near_dup.word_hashes([rows[0][1], rows[1][1]]))
+    plain, weighted = near_dup.similarities(a, na, b, nb)
+    assert plain == 1 and weighted < 0.65
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {d: d // 2 * 2 for d, _ in rows}
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(5)
     for _ in range(4):
