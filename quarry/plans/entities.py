@@ -79,7 +79,7 @@ def resolution_report(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_pairs(t: Tables) -> DataFrame:
-    """Alike part names in a brand, by banded trigrams, with their class (tested by brute force)."""
+    """Alike part names in a brand, by trigrams, with their class (tested by brute force)."""
     names = t.part.select(F.concat_ws("-", "p_brand", "p_name").alias("k"), F.col("p_name").alias("n"), "p_brand").distinct()
     pairs = gr.cut(rs.fuzzy_pairs(names, "k", "n", "p_brand", 0.5))
     found = gr.connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())

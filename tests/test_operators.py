@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from quarry.functions import text
-from quarry.operators import graphs, patterns, recommend, relational, sketches, vectors
+from quarry.operators import graphs, patterns, recommend, relational, resolution, sketches, vectors
 from quarry.operators import similarity as sm
 from quarry.plans import catalog
 from quarry.sources import files
@@ -119,6 +120,25 @@ def test_betweenness_of_no_edges(spark):
     assert graphs.edge_betweenness(none).count() == 0 and graphs.girvan_newman(none).count() == 0
 
 
+def test_fuzzy_pairs_equal_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    parts = {(r[0], r[1]) for r in spark.read.parquet(f"{folder}/part.parquet").select("p_brand", "p_name").collect()}
+    sets = {}
+    for brand, name in parts:
+        t = " ".join(sorted(name.split(" ")))
+        mark = sorted(re.findall(r"[0-9]+|\b[IVX]+\b", name))
+        sets[f"{brand}-{name}"] = (brand, mark, {t[i : i + 3] for i in range(max(1, len(t) - 2))})
+    want = {}
+    for a, (brand, mark, x) in sets.items():
+        for b, (brand_b, mark_b, y) in sets.items():
+            if a < b and brand == brand_b and mark == mark_b and len(x & y) / len(x | y) >= 0.5:
+                want[a, b] = round(len(x & y) / len(x | y), 6)
+    got = catalog.queries()["fuzzy_pairs"](spark, folder).collect()
+    assert want and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+    odd = spark.createDataFrame([(1, "", "x"), (2, "", "x"), (3, "ab", "x"), (4, "b II", "x"), (5, "b III", "x"), (6, None, "x")], "k long, n string, g string")
+    assert {(r["a"], r["b"]) for r in resolution.fuzzy_pairs(odd, "k", "n", "g", 0.85).collect()} == {(1, 2)}
+
+
 def test_graph_queries_without_sql_read_links_of_two_orders(spark, tmp_path):
     rows = [(2 * a + k, s) for a in range(8) for k in range(2) for s in (a, (a + 1) % 8)] + [(99, 0), (99, 4)]
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
