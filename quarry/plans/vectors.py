@@ -171,7 +171,7 @@ def dbscan(t: Tables) -> DataFrame:
 @query(f"""WITH RECURSIVE {DBSCAN}, {km_sql()}, q AS (SELECT cell, quantile_cont(sqrt(d), 0.95) AS q FROM af GROUP BY 1)
 SELECT af.k AS vec_id, CAST(af.cell AS BIGINT) AS cell, round(sqrt(d), 5) AS distance FROM af JOIN q USING (cell) JOIN cl ON cl.vec_id = af.k WHERE cluster = -1 AND round(sqrt(d), 9) >= round(q, 9)""")
 def anomaly_tail(t: Tables) -> DataFrame:
-    """Noise that is also in the furthest 5 percent of its k-means cell."""
+    """C14: noise that is also in the furthest 5 percent of its k-means cell."""
     c = clustered(t).select("vec_id", F.col("cell").cast("long").alias("cell"), F.sqrt("distance2").alias("distance"))
     far = c.groupBy("cell").agg(F.percentile("distance", F.lit(0.95)).alias("q"))
     return c.join(far, "cell").join(density(t).filter("cluster = -1"), "vec_id").filter(F.round("distance", 9) >= F.round("q", 9)).select("vec_id", "cell", F.round("distance", 5).alias("distance"))
@@ -181,7 +181,7 @@ def anomaly_tail(t: Tables) -> DataFrame:
 mi AS (SELECT sum(n / t * ln(n * t / (na * nb))) AS mi FROM n JOIN ra USING (a) JOIN rb USING (b), t), ha AS (SELECT sum(-na / t * ln(na / t)) AS ha, sum(na * (na - 1) / 2) AS pa FROM ra, t), hb AS (SELECT sum(-nb / t * ln(nb / t)) AS hb, sum(nb * (nb - 1) / 2) AS pb FROM rb, t)
 SELECT round((bo - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 5) AS ari, round(mi / ((ha + hb) / 2), 5) AS nmi FROM t, mi, ha, hb""")
 def ari_nmi(t: Tables) -> DataFrame:
-    """Agreement of the k-means cells with the given labels."""
+    """Agreement of the k-means cells with the given labels."""
     both = clustered(t).select("label", "cell")
     return gr.partition_agreement(both, "label", "cell").select(F.round("ari", 5).alias("ari"), F.round("nmi", 5).alias("nmi"))
 
@@ -199,6 +199,6 @@ def kmeans_mllib(t: Tables) -> DataFrame:
 
 @query()
 def svd_embedding(t: Tables) -> DataFrame:
-    """A rank-8 projection of the embeddings (MLlib PCA; rows only)."""
+    """A rank-8 projection of the given embeddings (MLlib PCA; rows only). It reads no text and no graph."""
     v = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return PCA(k=8, inputCol="features", outputCol="p").fit(v).transform(v).select("vec_id", vector_to_array("p").alias("projected"))
