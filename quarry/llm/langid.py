@@ -242,10 +242,13 @@ def identify_languages(docs: DataFrame, per_language: int = 400, words: int = 16
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, per_language: int = 400, words: int = 160) -> DataFrame:
-    """docs whose language was identified with a score of `least` or more, with all their columns."""
+    """docs whose language was identified with a score of `least` or more, with all their columns.
+
+    Without a labelled row to learn from there is no score: texts with a letter stay, null texts and others go.
+    """
     model = fit(sample(docs, per_language, words))
     if model is None:
-        return docs.filter(F.lit(False))
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

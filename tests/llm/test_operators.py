@@ -191,6 +191,11 @@ def test_language_id(spark):
     assert [(r["lang_pred"], r["score"]) for r in langid.identify_languages(odd).collect()] == [("und", 0.0)] * 3
 
 
+def test_documents_with_letters_stay_without_a_model(spark):
+    odd = spark.createDataFrame([(1, "some words", None), (2, "123 !!", None), (3, None, None), (None, "é", None)], "doc_id long, text string, lang string")
+    assert sorted((r["text"] for r in langid.keep_identified(odd).collect())) == ["some words", "é"]
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     e, t = rng.normal(size=(6, 1, 3)), rng.normal(size=(3, 3))
