@@ -131,6 +131,49 @@ class Pieces:
         return best
 
 
+class Short:
+    """Items too short for an edit, by size: they match whole, between word boundaries of the normalised text."""
+
+    def __init__(self, items: list[tuple[list, bytes]]) -> None:
+        self.ids = {text: ids for ids, text in items}
+        self.by_size = {n: np.array(sorted(t for t in self.ids if len(t) == n), f"S{n}") for n in {len(t) for t in self.ids}}
+
+    def find(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, int]]:
+        """(text, item, end) of each item's first place in a text."""
+        raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+        edge = (raw == 32) | (raw == 10)
+        begins = np.cumsum([1] + [len(t) + 1 for t in texts])[:-1]
+        starts = np.flatnonzero(edge[:-1] & ~edge[1:]) + 1
+        for n, known in self.by_size.items():
+            at = starts[starts + n < len(raw)]
+            at = at[edge[at + n]]
+            if not len(at):
+                continue
+            words = np.lib.stride_tricks.sliding_window_view(raw, n)[at].view(f"S{n}").ravel()
+            place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            good = known[place] == words
+            at, place = at[good], place[good]
+            if not len(at):
+                continue
+            doc = np.searchsorted(begins, at, "right") - 1
+            _, first = np.unique(np.stack([doc, place]), axis=1, return_index=True)
+            for i in first:
+                yield int(doc[i]), bytes(known[place[i]]), int(at[i] - begins[doc[i]] + n)
+
+
+def short_matcher(items: list[tuple[list, bytes]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Short(items)
+        for part in pieces(frames, "text"):
+            doc_id = part["doc_id"]
+            found = known.find(part["text"].tolist())
+            rows = [(None if pd.isna(doc_id.iloc[d]) else int(doc_id.iloc[d]), i, 0, len(item), end) for d, item, end in found for i in known.ids[item]]
+            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "item_bytes", "end_byte"])
+            yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+
+    return match
+
+
 def matcher(items: list[tuple[list, bytes]], rate: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Pieces(items, rate)
@@ -157,22 +200,21 @@ def matcher(items: list[tuple[list, bytes]], rate: float) -> Callable[[Iterator[
     return match
 
 
-def blocks_of_items(benchmark: DataFrame, min_bytes: int) -> Iterator[list[tuple[list, bytes]]]:
-    """Distinct normalised items with their ids, in blocks of bounded size."""
-    table = benchmark.select(F.col("item_id").cast("long").alias("item_id"), matchable(F.col("text")).alias("text"))
-    table = table.groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids")).orderBy("text")
-    block, size = [], 0
-    for row in table.toLocalIterator():
-        raw = row["text"].encode()
-        if len(raw) < min_bytes:
-            continue
-        block.append((list(row["ids"]), raw))
-        size += len(raw)
-        if len(block) == BLOCK_ITEMS or size > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def blocks_of_items(benchmark: DataFrame, min_bytes: int) -> Iterator[tuple[bool, list[tuple[list, bytes]]]]:
+    """Distinct normalised items with their ids, in blocks of bounded size: first those under min_bytes (True), then the others."""
+    table = benchmark.select(F.col("item_id").cast("long").alias("item_id"), matchable(F.col("text")).alias("text")).filter("text <> ''")
+    table = table.groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    for short in (True, False):
+        block, size = [], 0
+        for row in table.filter((F.octet_length("text") < min_bytes) == short).orderBy("text").toLocalIterator():
+            raw = row["text"].encode()
+            block.append((list(row["ids"]), raw))
+            size += len(raw)
+            if len(block) == BLOCK_ITEMS or size > BLOCK_BYTES:
+                yield short, block
+                block, size = [], 0
+        if block:
+            yield short, block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -183,14 +225,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_
     Items go out in blocks of at most BLOCK_ITEMS items, each against all rows in one pass; documents never shuffle.
 
     Returns doc_id, item_id, distance, item_bytes, end_byte (of the match in the normalised text). Null or empty text:
-    no match. Items that are null or under min_bytes once normalised are no evidence and are skipped. Null ids are
+    no match. Items under min_bytes once normalised have no edits: they match whole, between spaces or ends of the
+    normalised text, at their first place. Items that are null or without letters and digits are skipped. Null ids are
     kept. Repeated rows match each. Long texts are searched whole. Empty tables: no rows. Further columns aren't read.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), matchable(F.col("text")).cast("binary").alias("text"))
     schema = "doc_id long, item_id long, distance long, item_bytes long, end_byte long"
     out = None
-    for block in blocks_of_items(benchmark, min_bytes):
-        found = slim.mapInPandas(matcher(block, rate), schema)
+    for short, block in blocks_of_items(benchmark, min_bytes):
+        found = slim.mapInPandas(short_matcher(block) if short else matcher(block, rate), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

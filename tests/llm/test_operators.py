@@ -181,6 +181,17 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(empty(spark), bench).count() == 0 and decontam.contaminated(more, bench.filter("false")).count() == 0
 
 
+def test_decontamination_by_short_items(spark):
+    texts = ["So: who's there?", "whoso s there", "a WHO S THERE; who s there", "人工智能 x", "人工智能学", "42", "x 42 y 42", None, ""]
+    more = spark.createDataFrame([*enumerate(texts), (None, "who s there")], "doc_id long, text string").coalesce(1)
+    items = [(1, "Who's there?"), (2, "人工智能"), (3, "42"), (4, "who s there"), (5, ""), (6, None), (7, "?!"), (8, "absent")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["item_bytes"], r["end_byte"]) for r in decontam.contaminated(more, bench).collect()}
+    who = {(d, i): (0, 11, e) for d, e in ((0, 14), (2, 13), (None, 11)) for i in (1, 4)}
+    assert got == who | {(3, 2): (0, 12, 12), (5, 3): (0, 2, 2), (6, 3): (0, 2, 4)}
+    assert decontam.decontaminate(more, bench).count() == 4 and decontam.contaminated(empty(spark), bench).count() == 0
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id")
