@@ -86,17 +86,17 @@ def simhash(tokens: DataFrame, key: str, token: str, weight: str, bits: int = 60
 
 
 def tfidf(tokens: DataFrame, key: str, token: str, min_df: int = 2, sublinear: bool = False) -> DataFrame:
-    """key, token, w: tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length; tokens in fewer than min_df documents are left out."""
+    """key, token, weight: tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length; tokens in fewer than min_df documents are left out."""
     tf = tokens.groupBy(key, token).agg(F.count("*").alias("tf"))
     df = tf.groupBy(token).agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     n = tokens.select(key).distinct().agg(F.count("*").alias("n"))
     counted = (1 + F.log("tf")) if sublinear else F.col("tf")
     raw = tf.join(df, token).crossJoin(F.broadcast(n)).select(key, token, (counted * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("_w"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norm, key).select(key, token, (F.col("_w") / F.col("_norm")).alias("w"))
+    return raw.join(norm, key).select(key, token, (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
 def dot_pairs(weights: DataFrame, key: str, token: str) -> DataFrame:
     """a, b (a < b), dot: scalar products of rows that share a token."""
-    a, b = weights.select(F.col(key).alias("a"), token, F.col("w").alias("wa")), weights.select(F.col(key).alias("b"), token, F.col("w").alias("wb"))
+    a, b = weights.select(F.col(key).alias("a"), token, F.col("weight").alias("wa")), weights.select(F.col(key).alias("b"), token, F.col("weight").alias("wb"))
     return a.join(b, token).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
