@@ -140,7 +140,7 @@ def lsh_sweep(t: Tables) -> DataFrame:
 def s_curve(t: Tables) -> DataFrame:
     """Chance of becoming a candidate."""
     grid = t.spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(r).alias("r")) for b, r in ((64, 2), (32, 4), (16, 8))])))
-    grid = grid.select("b", "r", (F.explode(F.sequence(F.lit(1), F.lit(19))) / 20.0).alias("s"))
+    grid = grid.select("b", "r", F.explode(F.sequence(F.lit(1), F.lit(19))).alias("_i")).select("b", "r", (F.col("_i") / 20.0).alias("s"))
     return grid.select("b", "r", "s", F.round(1 - F.pow(1 - F.pow("s", "r"), "b"), 6).alias("p"), F.round(F.pow(1.0 / F.col("b"), 1.0 / F.col("r")), 6).alias("threshold"))
 
 
