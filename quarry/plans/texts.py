@@ -124,14 +124,14 @@ SWEEP = [(16, 1), (8, 2), (5, 3), (4, 4)]
     )
 )
 def lsh_sweep(t: Tables) -> DataFrame:
-    """Missed and extra pairs by bands and rows."""
+    """Missed and extra pairs by bands and rows; without any candidate the share to verify is null."""
     truth = item_pairs(t, 5).filter("jaccard >= 0.3").select("a", "b", F.lit(1).alias("true"))
     total = t.benchmark.agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).crossJoin(truth.agg(F.count("*").alias("all_true")))
     signed = t.benchmark.select("item_id", sm.minhash(sm.char_shingles(F.col("text"), 5), 16).alias("s"))
     out = None
     for b, r in SWEEP:
         found = sm.lsh_candidates(signed, "item_id", "s", b, r).join(truth, ["a", "b"], "left").agg(F.count("*").alias("candidates"), F.count("true").alias("hits"))
-        one = found.crossJoin(total).select(F.lit(r).alias("r"), F.lit(b).alias("b"), "candidates", (F.col("all_true") - F.col("hits")).alias("missed"), (F.col("candidates") - F.col("hits")).alias("extra"), F.round(100.0 * F.col("candidates") / F.col("n"), 4).alias("verified_pct"))
+        one = found.crossJoin(total).select(F.lit(r).alias("r"), F.lit(b).alias("b"), "candidates", (F.col("all_true") - F.col("hits")).alias("missed"), (F.col("candidates") - F.col("hits")).alias("extra"), F.round(100.0 * F.nullif("candidates", F.lit(0)) / F.col("n"), 4).alias("verified_pct"))
         out = one if out is None else out.unionByName(one)
     return out
 
