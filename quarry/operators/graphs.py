@@ -249,9 +249,10 @@ def link_scores(edges: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
-    """One row: the rank statistic with ties averaged, from one row for each distinct score."""
+    """One row: the rank statistic with ties averaged, from one row for each distinct score; null if a class is empty."""
     by = scored.groupBy(score).agg(F.count_if(positive).alias("p"), F.count("*").alias("n"))
     below = F.sum("n").over(Window.orderBy(score)) - F.col("n")
     ranked = by.withColumn("r", below + (F.col("n") + 1) / 2)
-    sums = ranked.agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
+    none = F.lit(0)
+    sums = ranked.agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.coalesce(F.sum("p"), none).alias("pos"), F.coalesce(F.sum(F.col("n") - F.col("p")), none).alias("neg"))
     return sums.select("pos", "neg", F.try_divide(F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")).alias("auc"))
