@@ -47,10 +47,10 @@ def apriori_1_2_3(t: Tables) -> DataFrame:
 
 @query(f"WITH {ITEMSETS.replace(str(SUPPORT), '0.003')} SELECT items, n FROM f")
 def fpgrowth_itemsets(t: Tables) -> DataFrame:
-    """The same by FP-Growth (at this support no set has four brands)."""
+    """The sets of one to three brands by FP-Growth, to hold against the levels above; larger ones (small tables have some) are left out."""
     made = lines(t).groupBy("k").agg(F.array_sort(F.collect_set("i")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=0.003).fit(made).freqItemsets
-    return found.select(F.array_join(F.array_sort("items"), ",").alias("items"), F.col("freq").alias("n"))
+    return found.filter(F.size("items") <= 3).select(F.array_join(F.array_sort("items"), ",").alias("items"), F.col("freq").alias("n"))
 
 
 RULES = f"""{ITEMSETS}, w AS (SELECT string_split(items, ',') AS l, support FROM f WHERE contains(items, ',')), m AS (SELECT l, support, unnest(range(1, CAST(2 ** len(l) AS BIGINT) - 1)) AS m FROM w),
