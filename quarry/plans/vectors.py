@@ -51,14 +51,7 @@ def centroids(t: Tables) -> list[tuple[int, list[float]]]:
 @query(f"WITH {IVF} SELECT query, neighbour, score, CAST(place AS INT) AS place FROM iv")
 def ivf_probe(t: Tables) -> DataFrame:
     """Inverted file with NLIST cells, the NPROBE nearest probed; every row is indexed."""
-    start = centroids(t)
-    indexed = vc.assign(t.embeddings, "embedding", start).select("vec_id", "embedding", "cell")
-    table = F.array(*[F.struct(F.lit(c).alias("cell"), F.array(*[F.lit(x) for x in v]).alias("v")) for c, v in start])
-    order = F.transform(F.array(F.col("embedding")), lambda own: F.slice(F.array_sort(F.transform(table, lambda c: F.struct(F.round(vc.squared_distance(own, c["v"]), 9).alias("d"), c["cell"].alias("cell")))), 1, NPROBE))[0]
-    probes = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.explode(order).alias("p")).select("query", "q", F.col("p.cell").alias("cell"))
-    norm = lambda c: F.sqrt(vc.dot(F.col(c), F.col(c)))
-    scored = probes.join(indexed, "cell").filter("query <> vec_id").select("query", F.col("vec_id").alias("neighbour"), F.round(vc.dot(F.col("q"), F.col("embedding")) / (norm("q") * norm("embedding")), 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbour"))).filter("place <= 10")
+    return vc.probe_cells(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding", centroids(t), NPROBE, 10)
 
 
 @query(f"WITH {knn_sql('q.k % 50 = 0', 10)}, {IVF} SELECT count(*) AS n, round(count(iv.query) / count(*), 6) AS recall FROM nn LEFT JOIN iv ON nn.query = iv.query AND nn.neighbour = iv.neighbour")
@@ -148,14 +141,7 @@ NEAR = f"nb AS (SELECT x.k AS a, y.k AS b FROM {V} x JOIN {V} y ON x.k <> y.k WH
 
 def density(t: Tables) -> DataFrame:
     """vec_id, cluster (smallest core; -1 for noise) by cosine of EPS or more."""
-    e = t.embeddings.select("vec_id", "embedding")
-    near = vc.nearest(e, e, "vec_id", "embedding", 1_000_000).filter(F.col("score") >= EPS).select(F.col("query").alias("a"), F.col("neighbour").alias("b"))
-    core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= MIN_PTS).select("a")
-    inner = near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    found = gr.connected_components(inner.select(F.col("a").alias("src"), F.col("b").alias("dst")), core.withColumnRenamed("a", "node"))
-    border = near.join(found.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("vec_id")).agg(F.min("component").alias("near"))
-    own = t.embeddings.select("vec_id").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(border, "vec_id", "left")
-    return own.select("vec_id", F.coalesce("component", "near", F.lit(-1)).alias("cluster"))
+    return vc.density_clusters(t.embeddings, "vec_id", "embedding", EPS, MIN_PTS)
 
 
 DBSCAN = f"""{NEAR}, ce AS (SELECT a, b FROM nb WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), reach AS (SELECT a AS node, a AS root FROM core UNION SELECT ce.b, reach.root FROM reach JOIN ce ON ce.a = reach.node),
