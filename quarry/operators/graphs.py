@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """Cut an iteration's lineage by a checkpoint in the folder that spark.checkpoint.dir names.
 
-    In local mode an unset folder is made; on a cluster without one the plan stays as it is.
+    In local mode an unset folder is made; a cluster without one is an error.
     """
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", "") or context._jsc.sc().getCheckpointDir().isDefined()):
         if not re.fullmatch(r"local(\[.*\])?", context.master):
-            return df
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint()
 
@@ -77,11 +77,11 @@ def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return nodes.join(hub, "node", "left").join(authority, "node", "left").na.fill(0.0)
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component (its smallest node), by minimum labels with pointer jumping until nothing changes."""
     pairs = cut(edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct())
     label = nodes.select("node", F.col("node").alias("component"))
-    for _ in range(most):
+    while True:
         near = pairs.join(label.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         low = label.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         far = label.select(F.col("node").alias("low"), F.col("component").alias("far"))
@@ -89,8 +89,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, most: int = 50) ->
         changed = new.filter("old <> component").limit(1).count()
         label = new.select("node", "component")
         if not changed:
-            break
-    return label
+            return label
 
 
 def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFrame:

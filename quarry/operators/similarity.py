@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import portable_hash
 from quarry.functions.text import squeeze
+from quarry.operators.graphs import connected_components, cut
 
 PRIME = (1 << 31) - 1
 
@@ -68,12 +72,126 @@ def bands(signature: Column, count: int, rows: int) -> Column:
     return bound(signature, lambda s: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.alias("band"), bucket(s, i).alias("bucket"))))
 
 
-def lsh_candidates(signed: DataFrame, key: str, signature: str, count: int, rows: int) -> DataFrame:
-    """a, b (a < b): pairs that share a bucket in some band."""
-    exploded = signed.select(key, F.inline(bands(F.col(signature), count, rows)))
+def word_sets(text: str, k: int) -> set[str]:
+    """word_shingles of one text that is lower case and squeezed already."""
+    words = text.split(" ")
+    return set(map(" ".join, zip(*(words[i:] for i in range(k)), strict=False))) or {text}
+
+
+def digests(shingles: set[str], seed: str) -> np.ndarray:
+    """The first 8 bytes of the MD5 of `shingle#seed`, of which portable_hash is the upper 60 bits."""
+    made = b"".join(hashlib.md5((s + seed).encode()).digest()[:8] for s in shingles)
+    return np.frombuffer(made, ">u8")
+
+
+def word_minhash(text: Column, k: int, n: int) -> Column:
+    """minhash(word_shingles(text, k), n) in Arrow batches: the hashes of a text are an array, not an expression for each shingle."""
+    numbers = np.array(minhash_numbers(n), np.int64)
+    by, plus = numbers[:, :1], numbers[:, 1:]
+
+    @F.pandas_udf("array<long>")
+    def sign(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            least = np.full(n, PRIME)
+            if t is not None:
+                base = (digests(word_sets(t, k), "#9") >> np.uint64(4)).astype(np.int64) % PRIME
+                for at in range(0, len(base), 1 << 16):  # so that a long text's table stays small
+                    least = np.minimum(least, ((by * base[at : at + (1 << 16)] + plus) % PRIME).min(axis=1))
+            out.append(least)
+        return pd.Series(out)
+
+    return sign(F.lower(squeeze(text)))
+
+
+COPIES, SETS = 512, 128  # copies of a text in one array, and sets that are compared with as many at once
+
+
+def classed(signed: DataFrame, key: str, same: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that agree in `same` as one: rep (the smallest key), copies and signature; and rep, part, keys (arrays of its rows' keys)."""
+    held = cut(signed)
+    reps = cut(held.groupBy(same).agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.any_value("signature").alias("signature")))
+    part = F.pmod(F.xxhash64(key), F.ceil(F.col("copies") / COPIES))
+    members = held.join(reps.select(same, "rep", "copies"), same).groupBy("rep", part.alias("part")).agg(F.collect_list(key).alias("keys"))
+    return reps.select("rep", "copies", "signature"), members
+
+
+def rep_pairs(reps: DataFrame, count: int, rows: int) -> DataFrame:
+    """a, b (a < b): representatives that share a bucket in some band."""
+    exploded = cut(reps.select("rep", F.inline(bands(F.col("signature"), count, rows))))
     full = exploded.groupBy("band", "bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("band", "bucket")
     kept = exploded.join(full, ["band", "bucket"], "left_semi")
-    return kept.select(F.col(key).alias("a"), "band", "bucket").join(kept.select(F.col(key).alias("b"), "band", "bucket"), ["band", "bucket"]).filter("a < b").select("a", "b").distinct()
+    return kept.withColumnRenamed("rep", "a").join(kept.withColumnRenamed("rep", "b"), ["band", "bucket"]).filter("a < b").select("a", "b").distinct()
+
+
+def copied(pairs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """pairs (a, b of representatives, a = b for a text with itself, and further columns) as pairs a < b of all their rows.
+
+    Arrays of at most some COPIES keys meet, so that the pairs of a large group of copies leave from many tasks.
+    """
+    parts = reps.select("rep", F.ceil(F.col("copies") / COPIES).alias("n"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    placed = pairs.join(parts.select(F.col("rep").alias("a"), F.col("n").alias("_na")), "a").join(parts.select(F.col("rep").alias("b"), F.col("n").alias("_nb")), "b")
+    placed = placed.withColumn("_pa", every("_na")).withColumn("_pb", every("_nb")).filter("a <> b or _pa <= _pb")
+    side = lambda x: members.select(F.col("rep").alias(x), F.col("part").alias(f"_p{x}"), F.col("keys").alias(f"_k{x}"))
+    met = placed.join(side("a"), ["a", "_pa"]).join(side("b"), ["b", "_pb"])
+    out = met.withColumn("_x", F.explode("_ka")).drop("_ka").withColumn("_y", F.explode("_kb")).filter("a <> b or _pa < _pb or _x < _y")
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    return out.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), *more)
+
+
+def lsh_candidates(signed: DataFrame, key: str, signature: str, count: int, rows: int) -> DataFrame:
+    """a, b (a < b): pairs of the unique keys that share a bucket in some band. Equal signatures are paired once and copied."""
+    reps, members = classed(signed.select(key, F.col(signature).alias("signature"), F.col(signature).alias("_same")), key, "_same")
+    return copied(rep_pairs(reps, count, rows).unionByName(with_itself(reps)), reps, members)
+
+
+def with_itself(reps: DataFrame) -> DataFrame:
+    return reps.filter("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+
+
+def candidate_count(signed: DataFrame, key: str, signature: str, count: int, rows: int) -> DataFrame:
+    """One row: the number of lsh_candidates, which aren't made for it."""
+    reps, _ = classed(signed.select(key, F.col(signature).alias("signature"), F.col(signature).alias("_same")), key, "_same")
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("copies").cast("long").alias(f"_{x}"))
+    apart = rep_pairs(reps, count, rows).join(side("a"), "a").join(side("b"), "b").select((F.col("_a") * F.col("_b")).alias("n"))
+    within = reps.select(F.expr("copies * (copies - 1) div 2").alias("n"))
+    return apart.unionByName(within).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """pairs (a, b) whose word shingles (as 64-bit hashes) have a Jaccard of `similarity` or more: a, b, jaccard. texts: rep, text.
+
+    A set goes to its connected group of candidates, not to each of its pairs: once for each block of SETS sets there.
+    """
+    pairs = cut(pairs)
+    named = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    blocks = named.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("n"))
+    placed = cut(named.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("own"), "n"))
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"node": f["rep"], "ids": [np.sort(digests(word_sets(t, k), "")).tobytes() for t in f["text"]]})
+
+    wanted = texts.join(placed.select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", F.lower(squeeze(F.col("text"))).alias("text"))
+    ways = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least("own", i).alias("left"), F.greatest("own", i).alias("right")))
+    sets = wanted.mapInPandas(hashed, "node long, ids binary").join(placed, "node").select("node", "ids", "component", F.inline(ways))
+    side = lambda x: placed.select(F.col("node").alias(x), "component", F.col("own").alias(f"_{x}"))
+    asked = pairs.join(side("a"), "a").join(side("b").drop("component"), "b").select("a", "b", "component", F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right"))
+
+    def check(f: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        ids = {n: np.frombuffer(x, ">u8").astype(np.uint64) for n, x in zip(held["node"], held["ids"], strict=True)} if len(f) else {}
+        out = []
+        for a, b in zip(f["a"], f["b"], strict=True):
+            x, y = ids[a], ids[b]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                if (jaccard := common / (len(x) + len(y) - common)) >= similarity:
+                    out.append((a, b, jaccard))
+        return pd.DataFrame(out, columns=["a", "b", "jaccard"])
+
+    at = ("component", "left", "right")
+    return asked.groupBy(*at).cogroup(sets.groupBy(*at)).applyInPandas(check, "a long, b long, jaccard double")
 
 
 def simhash(tokens: DataFrame, key: str, token: str, weight: str, bits: int = 60) -> DataFrame:

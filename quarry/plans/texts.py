@@ -66,7 +66,7 @@ WORDS_SQL = "w AS (SELECT doc_id, string_split(lower(trim(regexp_replace(text, '
 
 
 def signed_documents(t: Tables, n: int) -> DataFrame:
-    return t.documents.select("doc_id", sm.minhash(sm.word_shingles(F.col("text"), 3), n).alias("signature"))
+    return t.documents.select("doc_id", sm.word_minhash(F.col("text"), 3, n).alias("signature"))
 
 
 @query(f"WITH {WORDS_SQL}, {signature_sql(16)} SELECT k AS doc_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS signature FROM sg GROUP BY 1")
@@ -98,18 +98,19 @@ def lsh_candidates(t: Tables) -> DataFrame:
 @query(f"WITH {WORDS_SQL}, {signature_sql(32)}, {bands_sql(8, 4)}, z AS (SELECT k, count(*) AS n FROM sh GROUP BY 1), c AS (SELECT a, b, count(*) AS c FROM cd JOIN sh x ON x.k = a JOIN sh y ON y.k = b AND x.s = y.s GROUP BY ALL) "
        "SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM c JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.5")
 def lsh_verified(t: Tables) -> DataFrame:
-    """Candidates with exact Jaccard of 0.5 or more."""
-    sets = t.documents.select("doc_id", sm.word_shingles(F.col("text"), 3).alias("sh"))
-    pairs = lsh_candidates(t)
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("y")), "b")
-    return joined.select("a", "b", sm.jaccard(F.col("x"), F.col("y")).alias("jaccard")).filter("jaccard >= 0.5").withColumn("jaccard", F.round("jaccard", 6))
+    """Candidates with exact Jaccard of 0.5 or more; each pair of different texts is compared once, whatever their copies."""
+    text = F.sha2(F.lower(sm.squeeze(F.col("text"))), 256)
+    reps, members = sm.classed(t.documents.select("doc_id", text.alias("same"), sm.word_minhash(F.col("text"), 3, 32).alias("signature")), "doc_id", "same")
+    found = sm.verified(sm.rep_pairs(reps, 8, 4), t.documents.select(F.col("doc_id").alias("rep"), "text"), 3, 0.5)
+    every = found.unionByName(sm.with_itself(reps).withColumn("jaccard", F.lit(1.0)))
+    return sm.copied(every, reps, members).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"WITH {WORDS_SQL}, {signature_sql(32)}, {bands_sql(8, 4)}, m AS (SELECT count(DISTINCT a) AS heads, count(*) AS candidates FROM cd), d AS (SELECT count(*) AS n FROM documents) SELECT n AS documents, CAST(n * (n - 1) // 2 AS BIGINT) AS possible, candidates FROM m, d")
 def lsh_scale_report(t: Tables) -> DataFrame:
     """Pairs possible against candidates."""
     n = t.documents.agg(F.count("*").alias("documents"))
-    return lsh_candidates(t).agg(F.count("*").alias("candidates")).crossJoin(n).select("documents", F.expr("documents * (documents - 1) div 2").alias("possible"), "candidates")
+    return sm.candidate_count(signed_documents(t, 32), "doc_id", "signature", 8, 4).crossJoin(n).select("documents", F.expr("documents * (documents - 1) div 2").alias("possible"), "candidates")
 
 
 SWEEP = [(16, 1), (8, 2), (5, 3), (4, 4)]
