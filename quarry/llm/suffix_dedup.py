@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import utf8
-from quarry.llm.near_dup import BASE, INVERSE, STEPS, mix
+from quarry.llm.near_dup import STEPS, mix
 from quarry.llm.tokenize import spread
 
 DEPTH, GRAM = 50, 16
 SLOT = 21  # bits of a position within a suffix array
-SHARD = (1 << SLOT) - 2
+SHARD = 1 << 18  # bytes of a suffix array: its ranks stay in the processor's cache
 NONE = np.iinfo(np.int64).max
 
 
@@ -33,11 +33,13 @@ def words(raw: np.ndarray) -> np.ndarray:
     return np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)).copy()
 
 
-def larsson_sadakane(raw: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Suffixes of raw (uint8, at most SHARD of them) in the order of their first `depth` bytes or more.
+def larsson_sadakane(raw: np.ndarray, wanted: np.ndarray | None = None, depth: int = DEPTH) -> np.ndarray:
+    """The wanted suffixes of raw (uint8, at most 2**SLOT - 2 of them) in the order of their first `depth` bytes or more.
 
     Ranks double the length they look at in each round, and only groups of equal rank are sorted again: a rank, the rank
-    `done` bytes further and the place are packed into one 64-bit number.
+    `done` bytes further and the place are packed into one 64-bit number. Suffixes that aren't wanted serve as the
+    further ranks of wanted ones. From depth / 3 bytes on these are known as far as they are asked for, so only wanted
+    suffixes go on; their ranks stay within the slots of their group, so they compare with the others as before.
     """
     n = len(raw)
     wide = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -48,14 +50,19 @@ def larsson_sadakane(raw: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     packed = np.sort(key << shift | np.arange(n, dtype=np.uint64))
     order = (packed & mask).astype(np.int64)
     rank = np.zeros(n + 2 * depth, np.int64)  # 0 beyond the end, slots count from 1
-    slots = np.arange(n)
-    done = 5
+    slots, lift = np.arange(n), np.ones(n, np.int64)
+    done, whole = 5, wanted is not None
     while True:
         same = packed >> shift
-        heads = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, np.int64)
-        size = np.diff(heads, append=len(same))
-        rank[order[slots]] = np.repeat(slots[heads], size) + 1
+        heads, size = runs_of(same)
+        rank[order[slots]] = np.repeat(slots[heads] + lift[slots[heads]], size)
         slots = slots[np.repeat(size > 1, size)]
+        if whole and (3 * done >= depth or not len(slots)):
+            whole, order = False, order[wanted[order]]
+            level = rank[order]
+            heads, size = runs_of(level)
+            lift = np.repeat(level[heads] - heads, size)
+            slots = np.flatnonzero(np.repeat(size > 1, size))
         if done >= depth or not len(slots):
             return order
         place = order[slots]
@@ -64,27 +71,30 @@ def larsson_sadakane(raw: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         done *= 2
 
 
-def kasai(raw: np.ndarray, order: np.ndarray, depth: int = DEPTH, stride: int = 32) -> np.ndarray:
-    """Common prefix, up to depth, of each suffix in order with the one before it (0 for the first).
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal values."""
+    heads = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return heads, np.diff(heads, append=len(values))
+
+
+def kasai(raw: np.ndarray, order: np.ndarray, wanted: np.ndarray, depth: int = DEPTH, stride: int = 32) -> np.ndarray:
+    """Common prefix, up to depth, of each suffix in order (the wanted ones) with the one before it (0 for the first).
 
     The text is read in many lanes at once. Within a lane the prefix of the next place is at most one byte shorter than
     that of this place, so it is only extended.
     """
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.int64)
     word = words(np.concatenate([raw, np.zeros(depth + 16, np.uint8)]))
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
+    follows = np.append(wanted[1:], False)
     common = np.zeros(n, np.int64)
     lanes = np.arange(0, n, stride)
     height = np.zeros(len(lanes), np.int64)
     for t in range(stride):
-        lanes = lanes[lanes + t < n]
-        # suffixes that agree to depth may be in any order, and then say nothing about the next place
-        here, height = lanes + t, np.where(height[: len(lanes)] < depth, np.maximum(height[: len(lanes)] - 1, 0), 0)
-        other = before[here]
-        live = np.flatnonzero((other >= 0) & (height < depth))
+        here = lanes[: np.searchsorted(lanes, n - t)] + t
+        height, other = height[: len(here)], before[here]
+        live = np.flatnonzero(other >= 0)
         while len(live):
             differ = word[here[live] + height[live]] ^ word[other[live] + height[live]]
             whole = differ == 0
@@ -93,8 +103,10 @@ def kasai(raw: np.ndarray, order: np.ndarray, depth: int = DEPTH, stride: int =
             height[live[~whole]] += (part.view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
             live = live[whole]
             live = live[height[live] < depth]
-        height = np.where(other >= 0, np.minimum(height, depth), 0)
-        common[here] = height
+        common[here] = np.minimum(height, depth)
+        # suffixes that agree to depth may be in any order, and then, or if the other one's next isn't in order, say nothing
+        height = np.where((height < depth) & (other >= 0) & follows[other], np.maximum(height - 1, 0), 0)
+        height[~follows[here]] = 0
     return common[order]
 
 
@@ -105,12 +117,8 @@ class Shard:
         self.ends = np.cumsum(sizes)
         opens = np.zeros(len(raw), bool)
         opens[spread(self.ends - sizes, sizes - DEPTH + 1)] = True  # places with a whole string after them
-        order = larsson_sadakane(raw)
-        group = np.cumsum(kasai(raw, order) < DEPTH) - 1
-        valid = opens[order]
-        self.place, group = order[valid], group[valid]
-        heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-        self.size = np.diff(heads, append=len(group))
+        self.place = larsson_sadakane(raw, opens)
+        heads, self.size = runs_of(np.cumsum(kasai(raw, self.place, opens) < DEPTH))
         self.doc = docs[np.searchsorted(self.ends, self.place, "right")]
         self.least = np.minimum.reduceat(self.doc, heads) if len(heads) else np.zeros(0, np.int64)
         self.own = self.least.copy()
@@ -185,20 +193,13 @@ class Runs:
 
     def first(self, chosen: np.ndarray) -> np.ndarray:
         """For each of the chosen runs: its first equal among them, which has the smallest id."""
-        raw, start, size = self.raw, self.start[chosen], self.size[chosen]
-        powers = np.multiply.accumulate(np.full(len(raw) + 1, BASE, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-        hashed = (sums[start + size] - sums[start]) * np.multiply.accumulate(np.full(len(raw) + 1, INVERSE, np.uint64))[start]
-        order = np.argsort(hashed, kind="stable")
-        head = np.flatnonzero(np.r_[True, hashed[order][1:] != hashed[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-        out = np.empty(len(start), np.int64)
-        out[order] = np.repeat(order[head], np.diff(head, append=len(order)))
-        flat = raw.tobytes()
-        for i in np.flatnonzero(out != np.arange(len(out))):
-            j = out[i]
-            if flat[start[i] : start[i] + size[i]] != flat[start[j] : start[j] + size[j]]:
-                out[i] = i
-        return out
+        return first_equal(self.raw, self.start[chosen], self.size[chosen])
+
+
+def first_equal(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each part of raw: the first that holds the same bytes."""
+    flat, seen = raw.tobytes(), {}
+    return np.fromiter((seen.setdefault(flat[a:b], i) for i, (a, b) in enumerate(zip(start.tolist(), (start + size).tolist(), strict=True))), np.int64, len(start))
 
 
 def group_runs(frame: pd.DataFrame, shards: int) -> Runs:
@@ -282,7 +283,12 @@ def repeats(payloads: list[bytes], owners: list[int]) -> list[np.ndarray]:
     heads = np.flatnonzero(np.r_[True, minimizer[order][1:] != minimizer[order][:-1]])
     shared = np.minimum.reduceat(doc[order], heads) != np.maximum.reduceat(doc[order], heads)
     chosen = order[np.repeat(shared, np.diff(heads, append=len(order)))]
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
+    # of equal fragments the one of the smallest document stands for all in the arrays; those of larger ones are repeats
+    chosen = chosen[np.lexsort((doc[chosen], minimizer[chosen]))]
+    first = first_equal(raw, begin[chosen], size[chosen])
+    again = doc[chosen] > doc[chosen][first]
+    gone, chosen = chosen[again], chosen[~again]
+    out: list[list[np.ndarray]] = [[doc[gone], start[gone], size[gone], owner[gone]]]
     # fragments longer than a suffix array are cut so that the parts overlap in all but one byte of a string
     long = size[chosen] > SHARD // 2
     if long.any():

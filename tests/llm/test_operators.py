@@ -262,6 +262,13 @@ def test_suffix_arrays_split_and_merge(monkeypatch):
         order = suffix_dedup.larsson_sadakane(raw)
         keys = [raw.tobytes()[i : i + 50] for i in order]
         assert keys == sorted(keys)
+        wanted = rng.random(600) < 0.3
+        wanted[-50:] = False
+        order = suffix_dedup.larsson_sadakane(raw, wanted)
+        keys = [raw.tobytes()[i : i + 50] for i in order]
+        assert keys == sorted(keys) and sorted(order) == np.flatnonzero(wanted).tolist()
+        want = [0] + [next((i for i in range(50) if a[i] != b[i]), 50) for a, b in zip(keys, keys[1:], strict=False)]
+        assert suffix_dedup.kasai(raw, order, wanted).tolist() == want
     monkeypatch.setattr(suffix_dedup, "SHARD", 4000)
     docs = [bytes(rng.integers(97, 100, 300).astype(np.uint8)) for _ in range(40)]
     docs = [docs[i % 13] + docs[i % 7] for i in range(40)] + [b"z" * 9000, b"z" * 8000]
