@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +55,34 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def pieces(frames: Iterator[pd.DataFrame], column: str, max_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks and stages, and shares its executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
+    """run, a function of one or two groups, with its memory given back after each."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        out = run(frame)
+        release_memory()
+        return out
+
+    def two(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = run(left, right)
+        release_memory()
+        return out
+
+    return one if len(inspect.signature(run).parameters) == 1 else two
+
+
+def pieces(frames: Iterator[pd.DataFrame], column: str, max_chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches into runs of at most max_chars characters (at least one row each), so that memory doesn't follow the row count."""
     for frame in frames:
+        release_memory()
         size = frame[column].str.len().fillna(0).to_numpy()
         run = (size.cumsum() // max_chars).astype("int64") if len(size) else size
         if len(run) and run[-1] != run[0]:
@@ -62,3 +90,5 @@ def pieces(frames: Iterator[pd.DataFrame], column: str, max_chars: int = 4_000_0
                 yield part.reset_index(drop=True)
         elif len(run):
             yield frame
+        del frame
+    release_memory()

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, materialize, pieces
+from quarry.llm.common import discard, lean, materialize, pieces
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**24 > 0.9999
@@ -141,7 +141,7 @@ def banded(signed: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def signer(bands: int, rows: int, words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in pieces(frames, "text", 2_000_000):
+        for part in pieces(frames, "text"):
             texts = part["text"].tolist()
             hashes, count = word_hashes(texts)
             sets = shingles(hashes, count, words)
@@ -173,7 +173,7 @@ def signer(bands: int, rows: int, words: int) -> Callable[[Iterator[pd.DataFrame
 
 def setter(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in pieces(frames, "text", 2_000_000):
+        for part in pieces(frames, "text"):
             rows = []
             for ids, counts in shingles(*word_hashes(part["text"].tolist()), words):
                 ids, inverse = np.unique((ids >> np.uint64(32)).astype("<u4"), return_inverse=True)
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     sized = far.join(far.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
     dealt = sized.select("*", F.inline(blocks_of(F.col("bucket"), F.col("node"), F.col("size")))).drop("size")
     grouped = dealt.join(sets, "node").groupBy("bucket", "left", "right")
-    third = materialize(grouped.applyInPandas(block_links(similarity), "a long, b long, plain double, weighted double").select("a", "b").distinct(), "verified")
+    third = materialize(grouped.applyInPandas(lean(block_links(similarity)), "a long, b long, plain double, weighted double").select("a", "b").distinct(), "verified")
     if not third.isEmpty():
         labels_2 = components(edges.select("a", "b").unionByName(third))
     discard(star, wanted, sets)

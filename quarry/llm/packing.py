@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import pieces
-from quarry.llm.tokenize import encoder
+from quarry.llm.tokenize import RUN_CHARS, encoder
 
 #: doc, start in the document, length, sequence, offset in the sequence
 Piece = tuple[int, int, int, int, int]
@@ -67,7 +67,7 @@ def packer(path: str, capacity: int, end_id: int, group: int) -> Callable[[Itera
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             return out.astype({"doc_id": "Int64"})
 
-        for part in pieces(frames, "text"):
+        for part in pieces(frames, "text", RUN_CHARS):
             rows = []
             ids, ends = encoder(path).encode(part["text"].tolist())
             for i, doc_id in enumerate(part["doc_id"].astype("Int64").tolist()):

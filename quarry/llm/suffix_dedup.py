@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import utf8
+from quarry.llm.common import lean, utf8
 from quarry.llm.near_dup import STEPS, mix
 from quarry.llm.tokenize import spread
 
@@ -399,12 +399,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, bytes_per_shard: in
     shards = max(least_shards, int(total) // bytes_per_shard)
     # the same exchange of the texts by owner group serves all three steps that need them
     owned = slim.withColumn("owner", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("owner")
-    listed = owned.applyInPandas(lister(shards), "shard long, owner long, payload binary")
-    shared = listed.groupBy("shard").applyInPandas(find_shared, "owner long, shard long, bits binary")
-    sent = owned.cogroup(shared.groupBy("owner")).applyInPandas(sender(shards), "shard long, owner long, kind int, payload binary")
-    spans = sent.groupBy("shard").applyInPandas(search, "owner long, payload binary")
+    listed = owned.applyInPandas(lean(lister(shards)), "shard long, owner long, payload binary")
+    shared = listed.groupBy("shard").applyInPandas(lean(find_shared), "owner long, shard long, bits binary")
+    sent = owned.cogroup(shared.groupBy("owner")).applyInPandas(lean(sender(shards)), "shard long, owner long, kind int, payload binary")
+    spans = sent.groupBy("shard").applyInPandas(lean(search), "owner long, payload binary")
     return owned.cogroup(spans.groupBy("owner")).applyInPandas(
-        remover_of(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+        lean(remover_of(with_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     )
 
 

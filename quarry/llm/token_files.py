@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, pieces
-from quarry.llm.tokenize import encoder
+from quarry.llm.tokenize import RUN_CHARS, encoder
 
 BLOCK = 4096  # ids in a block; a multiple of 8, so that every block starts at a byte
 CHUNK = 65_536  # ids in a row of the file, at least, as documents aren't split
@@ -61,7 +61,7 @@ def writer(path: str, end_id: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
 
         shard, chunk, first = TaskContext.get().partitionId(), 0, 0
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for part in pieces(frames, "text"):
+        for part in pieces(frames, "text", RUN_CHARS):
             ids, ends = encoder(path).encode(part["text"].tolist())
             width = width_of(max(encoder(path).vocabulary, end_id + 1))
             docs = [None if x is pd.NA else x for x in part["doc_id"].astype("Int64").tolist()]

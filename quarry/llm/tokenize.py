@@ -20,7 +20,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Texts with these need the slower cut: white space beside white space, or white space other than space and line feed.
 ODD = r"\x00|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SAFE = re.compile(r"(?<=\S)(?= \S)")
-KEPT_CHARS, KEPT_PIECES = 48, 400_000
+KEPT_CHARS, KEPT_PIECES = 48, 100_000
+
+RUN_CHARS = 2_000_000  # of texts that are encoded at once
 
 _encoders: dict[str, PieceEncoder] = {}
 
