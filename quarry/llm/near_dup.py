@@ -176,9 +176,7 @@ def setter(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
         for part in pieces(frames, "text"):
             rows = []
             for ids, counts in shingles(*word_hashes(part["text"].tolist()), words):
-                ids, inverse = np.unique((ids >> np.uint64(32)).astype("<u4"), return_inverse=True)
-                counts = np.minimum(np.bincount(inverse, counts, len(ids)), 65_535)
-                rows.append((ids.tobytes(), counts.astype("<u2").tobytes()))
+                rows.append((ids.astype("<u8").tobytes(), counts.astype("<u4").tobytes()))
             yield pd.DataFrame({"node": part["doc_id"], "ids": [r[0] for r in rows], "counts": [r[1] for r in rows]})
 
     return make
@@ -216,8 +214,8 @@ def block_links(similarity: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
             near &= node[rows][:, None] < node[cols][None]
         if not near.any():
             return pd.DataFrame([], columns=["a", "b", "plain", "weighted"])
-        ids = [np.frombuffer(x, "<u4") for x in f["ids"]]
-        counts = [np.frombuffer(x, "<u2") for x in f["counts"]]
+        ids = [np.frombuffer(x, "<u8") for x in f["ids"]]
+        counts = [np.frombuffer(x, "<u4") for x in f["counts"]]
         sizes = np.array([len(x) for x in ids])
         every, place = np.unique(np.concatenate(ids), return_inverse=True)
         owner = np.repeat(np.arange(len(ids)), sizes)
@@ -253,7 +251,7 @@ def block_links(similarity: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         found = [
-            similarities(np.frombuffer(a, "<u4"), np.frombuffer(ca, "<u2"), np.frombuffer(b, "<u4"), np.frombuffer(cb, "<u2"))
+            similarities(np.frombuffer(a, "<u8"), np.frombuffer(ca, "<u4"), np.frombuffer(b, "<u8"), np.frombuffer(cb, "<u4"))
             for a, ca, b, cb in zip(f["ids_a"], f["counts_a"], f["ids_b"], f["counts_b"], strict=True)
         ]
         yield pd.DataFrame({"a": f["a"], "b": f["b"], "plain": [x[0] for x in found], "weighted": [x[1] for x in found]})
@@ -279,7 +277,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if not changed:
             discard(both)
-            return labels.select("node", "class_id")
+            out = labels.select("node", "class_id")
+            out._quarry_path = labels._quarry_path
+            return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     Two texts are linked if the Jaccard of their word shingles, or the probability Jaccard of these weighted by
     1 + ln(count), is `similarity` or more. Texts with the same words are one node. Nodes that share a band of the
     weighted or of the plain signature are candidates, so each kind of link has its own bands, and every class decision
-    rests on exact similarities (of 32-bit shingle hashes):
+    rests on exact similarities (of 64-bit shingle hashes):
 
     1. each bucket's smallest node against the others (a star),
     2. nodes that it didn't take in against three more nodes that it did,
@@ -344,8 +344,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     grouped = dealt.join(sets, "node").groupBy("bucket", "left", "right")
     third = materialize(grouped.applyInPandas(lean(block_links(similarity)), "a long, b long, plain double, weighted double").select("a", "b").distinct(), "verified")
     if not third.isEmpty():
+        discard(labels_2)
         labels_2 = components(edges.select("a", "b").unionByName(third))
-    discard(star, wanted, sets)
+    discard(members, star, wanted, sets, first, labels, second, far, third)
 
     of_node = labels_2.withColumnRenamed("class_id", "_class")
     owned = signed.select("doc_id", *prints).join(nodes.select(*prints, "node"), prints).join(of_node, "node", "left")
@@ -356,4 +357,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, its first; documents without an id stay."""
     classed = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(classed, F.col("doc_id") == F.col("_keep"), "left_semi"))
+    return docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(classed, docs["doc_id"] == classed["_keep"], "left_semi"))
