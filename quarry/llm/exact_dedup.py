@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, utf8
+from quarry.llm.common import discard, materialize, utf8
 
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: A chunk runs from its 256th character to the first anchor, a local pattern of three characters, or to 2048 characters.
-#: Every end depends on the chunk's own characters only.
-CHUNK = r"(?s).{256,2048}?(?<=[aeinrst][bcdfghlmopuvw][ aeinrst])|.{1,2048}"
+#: A chunk runs to the first anchor that ends at its 256th character or later, or to 2048 characters. An anchor is a
+#: coincidence in any script: of 46 characters the 1st and 15th return 31 places on (1 place in some 250 of an alphabet), or
+#: one of a large script, a capital or a digit returns 17 places on. Ends depend on the chunk's own characters only.
+CHUNK = r"(?s).{210,2002}?(?:(.).{13}(.).{16}\1.{13}\2|.{28}([\x{2E80}-\x{10FFFF}0-9A-Z]).{16}\3)|.{1,2048}"
 
 
 def normalized(text: Column) -> Column:
@@ -32,26 +33,29 @@ def recipes(docs: DataFrame, bits: int = 64, pattern: str = CHUNK, id_col: str =
     """doc_id, text_sha256 (binary) and recipe: the ordered list of verified chunk identifiers.
 
     The distinct chunks are gathered once, by hash and content, each map task sending a chunk only once. Hashes that
-    stand for one content only are identifiers as they are; contents that share a hash get numbers, and the documents
-    that hold them are resolved by content.
+    stand for one content only are identifiers as they are; contents that share a hash get numbers, and only the texts
+    that hold such a hash are resolved by content.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalized(F.col(text_col)).alias("text"))
     listed = text.select(F.explode(chunks(F.col("text"), pattern)).alias("chunk")).select(chunk_hash(F.col("chunk"), bits).alias("hash"), "chunk")
     distinct = listed.groupBy("hash", "chunk").agg(F.lit(1).alias("one"))
     shared = distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    plain = text.select("doc_id", F.unhex(F.sha2(utf8(F.col("text")), 256)).alias("text_sha256"), F.transform(chunks(F.col("text"), pattern), lambda c: chunk_hash(c, bits)).alias("recipe"))
+    sha = F.unhex(F.sha2(utf8(F.col("text")), 256))
+    plain = text.select("doc_id", sha.alias("text_sha256"), F.transform(chunks(F.col("text"), pattern), lambda c: chunk_hash(c, bits)).alias("recipe"))
     shared = materialize(shared, "chunk-collisions")
     if shared.isEmpty():
+        discard(shared)
         return plain
     number = F.row_number().over(Window.partitionBy("hash").orderBy("chunk"))
     numbered = distinct.join(shared, "hash", "left_semi").select("hash", "chunk", number.alias("number"))
-    # any document of a text gives the recipe of that text: one copy of each (doc_id, text) is enough
-    sha = F.unhex(F.sha2(utf8(F.col("text")), 256))
-    each = text.select("doc_id", sha.alias("text_sha256"), F.posexplode_outer(chunks(F.col("text"), pattern)).alias("place", "chunk")).withColumn("hash", chunk_hash(F.col("chunk"), bits)).dropDuplicates(["doc_id", "text_sha256", "place"])
-    found = each.join(numbered, ["hash", "chunk"], "left").select("doc_id", "text_sha256", F.struct("place", "hash", F.coalesce("number", F.lit(0)).alias("number")).alias("step"))
-    made = found.groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_list("step")).alias("steps"))
-    exact = made.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.transform("steps", lambda s: F.struct(s["hash"].alias("hash"), s["number"].alias("number"))).alias("_recipe"))
-    return plain.join(exact, plain["doc_id"].eqNullSafe(exact["_id"]) & (plain["text_sha256"] == exact["_sha"])).select("doc_id", "text_sha256", F.col("_recipe").alias("recipe"))
+    held = plain.select("text_sha256", F.explode("recipe").alias("hash")).join(shared, "hash", "left_semi").select("text_sha256").distinct()
+    # any row of a text gives the recipe of that text
+    once = text.select(sha.alias("text_sha256"), "text").join(held, "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
+    each = once.select("text_sha256", F.posexplode(chunks(F.col("text"), pattern)).alias("place", "chunk")).withColumn("hash", chunk_hash(F.col("chunk"), bits))
+    found = each.join(numbered, ["hash", "chunk"], "left").select("text_sha256", F.struct("place", "hash", F.coalesce("number", F.lit(0)).alias("number")).alias("step"))
+    step = lambda h, n: F.struct(h.alias("hash"), n.alias("number"))
+    exact = found.groupBy("text_sha256").agg(F.transform(F.sort_array(F.collect_list("step")), lambda s: step(s["hash"], s["number"])).alias("_recipe"))
+    return plain.join(exact, "text_sha256", "left").select("doc_id", "text_sha256", F.coalesce("_recipe", F.transform("recipe", lambda h: step(h, F.lit(0)))).alias("recipe"))
 
 
 def exact_duplicates(docs: DataFrame, bits: int = 64, pattern: str = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,11 +80,12 @@ def exact_duplicates(docs: DataFrame, bits: int = 64, pattern: str = CHUNK, id_c
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: the first of each group of equal texts; of repeated rows one stays."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = exact_duplicates(docs).filter("kept").select(name.alias("_name"), F.unhex("text_sha256").alias("_sha"))
-    keyed = docs.withColumns({"_name": name, "_sha": F.unhex(F.sha2(utf8(normalized(F.col("text"))), 256))})
-    copy = F.row_number().over(Window.partitionBy("_name", "_sha").orderBy("text"))
-    return keyed.withColumn("_copy", copy).filter("_copy = 1").join(kept, ["_name", "_sha"], "left_semi").select(*docs.columns)
+    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
+    text = normalized(F.col("text"))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(utf8(text), 256)).alias("_sha"))
+    copy = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("doc.text"))
+    first = keyed.withColumn("_copy", copy).filter("_copy = 1")
+    return first.join(kept, first["_id"].eqNullSafe(kept["_id"]) & (first["_sha"] == kept["_sha"]), "left_semi").select("doc.*")
 
 
 SQL = r"""
