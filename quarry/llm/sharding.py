@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, utf8
@@ -37,10 +37,20 @@ def shard_documents(docs: DataFrame, shards: int = 8, ranges: int = 256, sample:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, **named: object) -> DataFrame:
-    """Write whole records under path/shard=N and return the assignment. A document goes to the shard of its (id, crc, size)."""
+    """Write whole records under path/part=N (N: the shard) and return the assignment.
+
+    A record goes to the shard of its (id, crc, size); of repeated rows that a shard's end parts, each shard gets its number.
+    """
     given = shard_documents(docs, shards, **named)
-    keyed = docs.withColumns({"_crc": F.crc32(utf8(F.col("text"))), "_size": (F.length(utf8(F.col("text"))) + F.lit(1)).cast("long")})
-    one = given.groupBy("doc_id", "text_crc32", "size").agg(F.min("shard").alias("shard"))
-    joined = keyed.join(one, keyed["doc_id"].eqNullSafe(one["doc_id"]) & (keyed["_crc"] == one["text_crc32"]) & (keyed["_size"] == one["size"]))
-    joined.select(*[keyed[c] for c in docs.columns], one["shard"]).write.partitionBy("shard").parquet(path)
+    alike = Window.partitionBy("id", "crc", "size").orderBy
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.crc32(utf8(F.col("text"))).alias("crc"), (F.length(utf8(F.col("text"))) + F.lit(1)).cast("long").alias("size"))
+    keyed = keyed.withColumn("nth", F.row_number().over(alike("doc.text")))
+    place = given.select(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), "size", "shard").withColumn("nth", F.row_number().over(alike("shard")))
+    same = keyed["id"].eqNullSafe(place["id"])
+    for c in ("crc", "size", "nth"):
+        same &= keyed[c] == place[c]
+    joined = keyed.join(place, same).select(keyed["doc"], place["shard"].alias("_part"))
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns]
+    for n in range(shards):
+        joined.filter(F.col("_part") == n).select(*columns).write.parquet(f"{path}/part={n}")
     return given

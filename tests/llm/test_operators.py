@@ -77,8 +77,10 @@ def test_exact_dedup(spark, docs, rows, bits):
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
 
 
-def test_chunks_join_to_the_text_and_depend_on_content(spark):
-    text = " ".join(random.Random(1).choices(["alpha", "bend", "core", "dust", "eat"], k=3000))
+@pytest.mark.parametrize("words", ["alpha bend core dust eat", "альфа берег воля город дом ёлка жизнь зима", "अलग कमल गगन घर चमक", "人工智能语言模型训练数据集合文本"])
+def test_chunks_join_to_the_text_and_depend_on_content(spark, words):
+    rnd = random.Random(1)
+    text = " ".join(rnd.choices(words.split(), k=3000)) if " " in words else "".join(rnd.choices(words, k=20000))
     a, b = (r[0] for r in spark.createDataFrame([(text,), ("some words in front " + text,)], "t string").select(exact_dedup.chunks(F.col("t"))).collect())
     assert "".join(a) == text and len(set(a) & set(b)) > len(a) // 2
 
@@ -113,6 +115,25 @@ def test_near_duplicates(spark, docs, rows):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_columns_that_clash_come_back_as_they_were(spark, docs):
+    odd = docs.select("doc_id", "text", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in ("_name", "_sha", "_copy", "_keep", "_class", "_bad", "node", "recipe")])
+    bench = spark.createDataFrame([(1, "words that no document holds at all", "x")], "item_id long, text string, _bad string")
+    for made in (exact_dedup.deduplicate(odd), near_dup.keep_one(odd), decontam.decontaminate(odd, bench)):
+        assert made.columns == odd.columns and made.count() > 20
+        for n in odd.columns[2:]:
+            assert made.filter(F.col(n) != F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))).count() == 0
+
+
+def test_shards_are_written_whole(spark, docs, tmp_path):
+    odd = docs.withColumns({"shard": F.lit("mine"), "_crc": F.lit("c"), "_size": F.lit("s"), "size": F.lit(1)})
+    given = sharding.write_shards(odd, f"{tmp_path}/out", 3)
+    back = [spark.read.parquet(f"{tmp_path}/out/part={i}") for i in range(3)]
+    assert [b.count() for b in back] == [given.filter(f"shard = {i}").count() for i in range(3)] and sum(b.count() for b in back) == docs.count()
+    assert all(set(b.columns) == set(odd.columns) and b.filter("shard <> 'mine' or _crc <> 'c' or _size <> 's' or size <> 1").count() == 0 for b in back)
+    ids = lambda df: sorted((str(r[0]) for r in df.select("doc_id").collect()))
+    assert [ids(b) for b in back] == [ids(given.filter(f"shard = {i}")) for i in range(3)]
+
+
 def test_near_duplicates_that_differ_in_repeats_only(spark):
     rows = []
     for i in range(60):
