@@ -13,8 +13,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, ranges: int = 256, sample:
     """Deal rows into `shards` shards of near-equal bytes, in the order of (text hash, id).
 
     Size-weighted key samples choose quantile boundaries and rows are partitioned into `ranges` ranges between them.
-    Exact totals of the ranges then place every row on one byte line; a range that lies over a shard's end, however
-    overfull, is subdivided there. A shard's bytes differ from the mean by less than one document.
+    A range that comes out overfull, by rows or bytes, is subdivided by a sample of its own, copies of one text by their
+    ids, so that no task sorts more than a few of the mean. Exact totals of the ranges then place every row on one byte
+    line, and a shard's bytes differ from the mean by less than one document.
 
     Equal texts are neighbours in that order, so a group of copies stays in one shard unless an end falls inside it.
     Returns one row per input row: id, size (UTF-8 bytes + 1), text_crc32, law, shard, slot, grown_shard (null).

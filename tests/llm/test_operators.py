@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quarry.llm import chat, decontam, exact_dedup, langid, near_dup, packing, secrets, sharding, suffix_dedup, token_files
+from quarry.llm import chat, decontam, exact_dedup, langid, near_dup, ordering, packing, secrets, sharding, suffix_dedup, token_files
 from quarry.llm.queries import tokenizer_path
 from quarry.llm.tokenize import PieceEncoder
 
@@ -59,6 +59,23 @@ def test_sharding(spark, docs, rows):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+def test_overfull_ranges_are_subdivided(spark):
+    # half of all bytes are in few rows, and half of all rows are copies of one key
+    df = spark.range(40_000).select((F.col("id") % 7 == 0).alias("long"), F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    df = df.select("k", "id", F.when(F.col("k") == 1, 1).otherwise(F.when(F.col("long"), 5000).otherwise(2)).cast("long").alias("w")).repartition(5)
+    cuts, totals = ordering.boundaries(df, ["k", "id"], "w", 16, 128)
+    mass = sum(w for _, w in totals.values())
+    assert sum(n for n, _ in totals.values()) == 40_000 and len(cuts) > 16
+    assert max(n for n, _ in totals.values()) <= 3 * 40_000 / 16 and max(w for _, w in totals.values()) <= 3 * mass / 16
+    ordered, n, w = ordering.with_global_order(df, ["k", "id"], "w", 100, 512)
+    got = ordered.orderBy("k", "id").collect()
+    at = 0
+    for i, r in enumerate(got):
+        assert (r["rank"], r["before"]) == (i, at)
+        at += r["w"]
+    assert (n, w) == (40_000, at)
+
+
 def brute_exact(rows):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, *_ in rows]
     out = []
