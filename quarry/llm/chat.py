@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
@@ -11,12 +11,18 @@ from quarry.llm.ordering import with_global_order
 OPEN, CLOSE, NARRATOR = "<|", "<|end|>\n", "system"
 
 
+def named(name: Column) -> Column:
+    """A name that can neither open nor close a header."""
+    return F.regexp_replace(F.replace(F.replace(name, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), r"[\r\n]+", " ")
+
+
 def rotate_perspectives(conversations: DataFrame, part_chars: int = 65_536, ranges: int = 64, sample: int = 4096) -> DataFrame:
     """Render each dialogue once for every participant: that speaker as assistant, the others as named users.
 
     Input: conv_id, turn, role (the speaker's name), text. Turns are ordered by turn, then name, then text. `system`
     narrates: it is rendered as system in every perspective and has none of its own. A turn is
-    `<|assistant|>\\n`, `<|user:NAME|>\\n` or `<|system|>\\n`, the text, and `<|end|>\\n`; `<|` inside a text or name becomes `< |`.
+    `<|assistant|>\\n`, `<|user:NAME|>\\n` or `<|system|>\\n`, the text, and `<|end|>\\n`; `<|` inside a text or name becomes `< |`
+    (so it can't be told from a `< |` that was there), and in a name also `|>` becomes `| >` and line ends a space.
     `mask` lists start:end (code points in this row's text, end exclusive) of what the assistant says with its `<|end|>`.
 
     A dialogue longer than part_chars is cut between turns into parts, so no task gathers more than part_chars plus
@@ -29,7 +35,7 @@ def rotate_perspectives(conversations: DataFrame, part_chars: int = 65_536, rang
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
-        F.replace(F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unknown")), F.lit("<|"), F.lit("< |")).alias("speaker"),
+        named(F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unknown"))).alias("speaker"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
     ).withColumns({"_key": F.md5("body"), "_weight": (F.length("body") + F.lit(32)).cast("long")})
     ordered, _, _ = with_global_order(turns, ["conv_id", "turn", "speaker", "_key"], "_weight", ranges, sample)
@@ -68,7 +74,7 @@ def rotate_perspectives(conversations: DataFrame, part_chars: int = 65_536, rang
 
 
 SQL = r"""
-WITH m AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, replace(coalesce(nullif(trim(role, ' '), ''), 'unknown'), '<|', '< |') AS speaker,
+WITH m AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, regexp_replace(replace(replace(coalesce(nullif(trim(role, ' '), ''), 'unknown'), '<|', '< |'), '|>', '| >'), '[\r\n]+', ' ', 'g') AS speaker,
                   replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 o AS (SELECT *, row_number() OVER w AS rk, sum(length(body) + 32) OVER w - length(body) - 32 AS before
       FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn, speaker, md5(body) ROWS UNBOUNDED PRECEDING)),
