@@ -57,6 +57,14 @@ def test_sharding(spark, docs, rows):
     want = sorted((d is None, d or 0, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text_crc32"]) for r in got) == want
     assert sharding.shard_documents(empty(spark)).count() == 0
+    line = sorted((hashlib.md5((t or "").encode()).hexdigest()[:16], d is not None, d or 0, len((t or "").encode()) + 1) for d, t, *_ in rows)
+    total, before, at, where = sum(x[3] for x in line), 0, {}, []
+    for _, has, d, n in line:
+        s = (2 * before + n) * 8 // (2 * total)
+        where.append((has, d, n, s, at.setdefault(s, 0)))
+        at[s] += 1
+        before += n
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["shard"], r["slot"]) for r in got) == sorted(where)
 
 
 def test_overfull_ranges_are_subdivided(spark):
@@ -163,6 +171,33 @@ def test_near_duplicates_that_differ_in_repeats_only(spark):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {d: d // 2 * 2 for d, _ in rows}
 
 
+def test_near_duplicates_by_either_similarity(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    rows = []
+    for i in range(40):
+        base, extra = [word() for _ in range(90)], [word() for _ in range(rnd.choice((8, 14, 20, 26)))]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base + extra * rnd.choice((1, 5, 20, 60)))), (3 * i + 2, " ".join(base[: rnd.choice((60, 75, 85))] + [word()] + base[85:]))]
+
+    def weights(text):
+        w, out = text.split(), {}
+        for j in range(len(w) - 4):
+            out[tuple(w[j : j + 5])] = out.get(tuple(w[j : j + 5]), 0) + 1
+        return {k: 1 + np.log(n) for k, n in out.items()}
+
+    sets, label = {d: weights(t) for d, t in rows}, {d: d for d, _ in rows}
+    for i in range(40):  # texts of different i have no shingle in common
+        for a, b in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 2)):
+            x, y = sets[a], sets[b]
+            every = set(x) | set(y)
+            probable = sum(1 / sum(max(x.get(j, 0) / x[k], y.get(j, 0) / y[k]) for j in every) for k in set(x) & set(y))
+            if max(len(set(x) & set(y)) / len(every), probable) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if n == high else n for d, n in label.items()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == label and 10 < len(set(label.values())) < 110
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(5)
     for _ in range(4):
@@ -248,6 +283,17 @@ def test_language_id(spark):
     assert [(r["lang_pred"], r["score"]) for r in langid.identify_languages(odd).collect()] == [("und", 0.0)] * 3
 
 
+def test_language_id_of_odd_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.filter("lang is not null and length(text) > 200").orderBy("doc_id").first()
+    more = spark.createDataFrame([(-1, " ".join([one["text"]] * 400), None), (-2, one["text"], None), (-2, one["text"], None), (-3, "7", "xx")], docs.schema)
+    odd = docs.unionByName(more).withColumns({n: F.lit("clash") for n in ("held_out", "lang_pred", "score", "unit", "place", "words")})
+    got = langid.identify_languages(odd).collect()
+    assert len(got) == docs.count() + 4 and {r["lang_pred"] for r in got if r["doc_id"] in (-1, -2)} == {one["lang"]}
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == -2}) == 1 and [r["lang_pred"] for r in got if r["doc_id"] == -3] == ["und"]
+    assert langid.identify_languages(odd.filter("false")).count() == 0 and langid.keep_identified(odd).columns == odd.columns
+
+
 def test_documents_with_letters_stay_without_a_model(spark):
     odd = spark.createDataFrame([(1, "some words", None), (2, "123 !!", None), (3, None, None), (None, "é", None)], "doc_id long, text string, lang string")
     assert sorted((r["text"] for r in langid.keep_identified(odd).collect())) == ["some words", "é"]
@@ -277,6 +323,20 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.filter("false")).count() == 0
 
 
+def test_secrets_equal_the_plain_rules(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = [(-1, 'token="abcdef" x' + "0af3" * 6 + "AKIA" + "Z9" * 8), (-2, "é漢" * 500 + "API_KEY : 'a.b-c/d' " + "x" * 200_000 + " secret=" + "0123456789abcdef" * 2), (-3, "passwd=passwd=secret12"), (-4, "")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    rules = [("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A, 6, 2), ("access", r"AKIA[A-Z0-9]+", 0, 20, 0), ("hex", r"[0-9a-f]+", 0, 24, 0)]
+    want = {}
+    for d, t in docs.collect():
+        found = [[(m.start(), i, m.end()) for m in re.finditer(p, t or "", flags) if len(m[g]) >= n] for i, (_, p, flags, n, g) in enumerate(rules)]
+        text = ",".join(f"{rules[i][0]}:{a}:{b}" for a, i, b in sorted(sum(found, [])))
+        want[d] = (*map(len, found), hashlib.sha256(text.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.scan_secrets(docs).collect()}
+    assert got == want and sum(sum(x[:3]) for x in want.values()) > 20
+
+
 def brute_repeats(rows):
     first = {}
     for d, t in rows:
@@ -359,6 +419,19 @@ def test_packing(spark, docs, rows):
     assert packing.pack_documents(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_pieces_are_the_ids_of_their_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    known = docs.collect()
+    ids = {r["doc_id"]: [*x, 0] for r, x in zip(known, reference_ids([r["text"] for r in known]), strict=True)}
+    got = packing.pack_documents(docs, tokenizer_path(), capacity=128, group=32).toPandas()
+    for r in got.itertuples():
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+    for d, s in got.sort_values("start").groupby("doc_id"):
+        assert s["start"].tolist() == np.r_[0, s["length"].cumsum()[:-1]].tolist() and s["length"].sum() == len(ids[d])
+    assert got["doc_id"].nunique() == len(ids) and got.groupby("sequence_id")["length"].sum().max() <= 128
+
+
 def test_balance_fills_sequences():
     dealt = packing.balance(np.random.default_rng(1).integers(1, 100, 500), 100)
     used = {}

@@ -44,6 +44,18 @@ def test_run_equals_brute_force(spark):
     assert got.groupBy("doc_id").agg((F.sum("length") - F.max("doc_tokens")).alias("x")).filter("x <> 0").count() == 0
 
 
+def test_clashing_columns_and_null_ids(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = {r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).select("doc_id").distinct().collect()}
+    alone = spark.createDataFrame([(None, "a lonely document without any id, of its own kind", "en", "s", 49)], docs.schema)
+    more = docs.unionByName(docs.limit(3)).unionByName(alone).withColumns({n: F.lit("x") for n in ("_keep", "_name", "_sha", "_copy", "_bad", "class_id", "node", "shard", "score")})
+    more.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").withColumn("doc_id", F.lit("x")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} - {None} == want
+    assert got.groupBy("doc_id").agg((F.sum("length") - F.max("doc_tokens")).alias("x")).filter("x <> 0").count() == 0
+
+
 def test_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{SMALL}/documents.parquet").filter("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
