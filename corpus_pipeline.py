@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontam, exact_dedup, langid, near_dup, packing
-from quarry.llm.common import documents, materialize
+from quarry.llm.common import discard, documents, materialize
 from quarry.llm.queries import tokenizer_path
 
 
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; returns the rows of the last."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents of sf_dir; returns the rows of the last. A stage's table goes once the next one is written."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
