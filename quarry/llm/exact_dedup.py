@@ -10,9 +10,9 @@ from quarry.llm.common import discard, materialize, utf8
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: A chunk runs to the first anchor that ends at its 256th character or later, or to 2048 characters. An anchor is a
-#: coincidence in any script: of 46 characters the 1st and 15th return 31 places on (1 place in some 250 of an alphabet), or
-#: one of a large script, a capital or a digit returns 17 places on. Ends depend on the chunk's own characters only.
-CHUNK = r"(?s).{210,2002}?(?:(.).{13}(.).{16}\1.{13}\2|.{28}([\x{2E80}-\x{10FFFF}0-9A-Z]).{16}\3)|.{1,2048}"
+#: coincidence 17 places apart: of one character that is a rarer Latin letter, a digit, a capital or of a large script (1
+#: place in some 250 of a text), or of two neighbours in any other script. Ends depend on the chunk's own characters only.
+CHUNK = r"(?s).{237,2029}?(?:([bcfgmpwy0-9A-Z\x{2E80}-\x{10FFFF}]).{16}\1.|([\x{80}-\x{2E7F}])(.).{15}\2\3)|.{1,2048}"
 
 
 def normalized(text: Column) -> Column:
@@ -67,7 +67,7 @@ def exact_duplicates(docs: DataFrame, bits: int = 64, pattern: str = CHUNK, id_c
     Null text: as empty; all empty texts are one group. Null ids: never the smallest unless a group has no other; of
     repeated rows with the smallest id one stays. Empty input: no rows. Further columns aren't read.
     """
-    listed = recipes(docs, bits, pattern, id_col, text_col)
+    listed = materialize(recipes(docs, bits, pattern, id_col, text_col), "recipes")  # read twice below
     groups = listed.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     copy = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id"))
     return (
@@ -80,12 +80,11 @@ def exact_duplicates(docs: DataFrame, bits: int = 64, pattern: str = CHUNK, id_c
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: the first of each group of equal texts; of repeated rows one stays."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    text = normalized(F.col("text"))
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(utf8(text), 256)).alias("_sha"))
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))  # without nulls one exchange serves window and join
+    kept = exact_duplicates(docs).filter("kept").select(name.alias("_id"), F.unhex("text_sha256").alias("_sha"))
+    keyed = docs.select(F.struct("*").alias("doc"), name.alias("_id"), F.unhex(F.sha2(utf8(normalized(F.col("text"))), 256)).alias("_sha"))
     copy = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("doc.text"))
-    first = keyed.withColumn("_copy", copy).filter("_copy = 1")
-    return first.join(kept, first["_id"].eqNullSafe(kept["_id"]) & (first["_sha"] == kept["_sha"]), "left_semi").select("doc.*")
+    return keyed.withColumn("_copy", copy).filter("_copy = 1").join(kept, ["_id", "_sha"], "left_semi").select("doc.*")
 
 
 SQL = r"""
