@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 #: Accented capitals and their plain forms.
 ACCENTED, PLAIN = "ÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑ", "AAAAAEEEEIIIIOOOOOUUUUCN"
 
-#: Legal forms that a company name may end with or hold.
-LEGAL_FORMS = ("SOCIEDAD ANONIMA CERRADA", "SOCIEDAD ANONIMA", "SAC", "SA", "SRL", "EIRL", "SAA", "INC", "LTD", "LLC", "CORP", "GMBH")
+#: Legal forms that a company name may end with or hold; short ones also with their letters apart (S.A.C., S A C).
+LEGAL_FORMS = ("SOCIEDAD ANONIMA CERRADA", "SOCIEDAD ANONIMA", "SAC", "SAA", "SA", "SRL", "EIRL", "INC", "LTD", "LLC", "CORP", "GMBH")
+SPELLED = ("SAC", "SAA", "SA", "SRL", "EIRL")
+
+
+def legal_pattern(forms: tuple[str, ...] = LEGAL_FORMS) -> str:
+    """A pattern of whole legal forms, for names in capitals whose punctuation has become spaces."""
+    return r"\b(" + "|".join(" ?".join(f) if f in SPELLED else f for f in forms) + r")\b"
 
 
 def squeeze(col: Column) -> Column:
@@ -25,10 +31,10 @@ def repair(col: Column, replacements: dict[str, str] | None = None) -> Column:
 
 
 def legal_name(col: Column, forms: tuple[str, ...] = LEGAL_FORMS) -> Column:
-    """A company name to compare by: upper case, no accents, no punctuation, no legal form."""
+    """A company name to compare by: upper case, no accents, no punctuation, no legal form, its letters together or apart."""
     bare = F.translate(F.upper(col), ACCENTED, PLAIN)
     bare = F.regexp_replace(bare, "[^A-Z0-9 ]", " ")
-    return squeeze(F.regexp_replace(squeeze(bare), r"\b(" + "|".join(forms) + r")\b", " "))
+    return squeeze(F.regexp_replace(squeeze(bare), legal_pattern(forms), " "))
 
 
 def classify(col: Column, rules: list[tuple[str, str]], default: str) -> Column:

@@ -95,6 +95,16 @@ def range_ranks(df: DataFrame, value: str, tie: str, descending: bool = False, r
     ).drop("_part", "_n", "_s")
 
 
+def numbered(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """column, number: its distinct values with numbers from 0 without gaps, counted within `parts` hash ranges and offset by their totals."""
+    one = df.select(column).distinct().withColumn("_part", F.pmod(F.xxhash64(column), F.lit(parts)))
+    totals = one.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    totals = totals.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(column))
+    return one.join(F.broadcast(totals), "_part").select(column, (F.col("_n") + inside - 1).alias("number"))
+
+
 def hhi(df: DataFrame, key: str, partner: str, amount: str) -> DataFrame:
     """key, hhi, top_share: concentration of a key's amount over its partners."""
     pairs = df.groupBy(key, partner).agg(F.sum(amount).alias("_m"))

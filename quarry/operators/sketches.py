@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,31 +71,40 @@ def cms_estimate(keys: DataFrame, key: str, sketch: DataFrame, width: int, depth
 
 
 class Dgim:
-    """Ones among the last `size` bits of a stream, in buckets of powers of two, at most `most` of a size."""
+    """Ones among the last `size` bits of a stream, in buckets of powers of two, at most `most` of a size.
+
+    levels[i] holds the time of the newest one in each bucket of 2**i ones, oldest bucket first, so the oldest of all
+    leads the last level. A bit costs one step, and one more for each level that a merge reaches.
+    """
 
     def __init__(self, size: int, most: int = 2) -> None:
-        self.size, self.most, self.at = size, most, 0
-        self.buckets: list[tuple[int, int]] = []  # newest first: (time of its newest one, ones)
+        self.size, self.most, self.now, self.total = size, most, 0, 0
+        self.levels: list[deque[int]] = []
 
     def add(self, bit: bool) -> None:
-        self.at += 1
-        while self.buckets and self.buckets[-1][0] <= self.at - self.size:
-            self.buckets.pop()
-        if not bit:
-            return
-        self.buckets.insert(0, (self.at, 1))
-        ones, first = 1, 0
-        while True:
-            same = [i for i in range(first, len(self.buckets)) if self.buckets[i][1] == ones]
-            if len(same) <= self.most:
-                return
-            newer, older = same[-2], same[-1]
-            self.buckets[newer : older + 1] = [(self.buckets[newer][0], 2 * ones)]
-            first, ones = newer, 2 * ones
+        self.now += 1
+        if self.levels and self.levels[-1][0] <= self.now - self.size:
+            self.levels[-1].popleft()
+            self.total -= 1 << len(self.levels) - 1
+            while self.levels and not self.levels[-1]:
+                self.levels.pop()
+        if bit:
+            self.total += 1
+            self._put(self.now, 0)
+
+    def _put(self, newest: int, i: int) -> None:
+        """A bucket of 2**i ones joins its level; one too many, and the two oldest there become one of the next level."""
+        if i == len(self.levels):
+            self.levels.append(deque())
+        level = self.levels[i]
+        level.append(newest)
+        if len(level) > self.most:
+            level.popleft()
+            self._put(level.popleft(), i + 1)
 
     def estimate(self) -> int:
         """All ones, less half of the oldest bucket."""
-        return sum(n for _, n in self.buckets) - self.buckets[-1][1] // 2 if self.buckets else 0
+        return self.total - (1 << len(self.levels) - 1) // 2 if self.levels else 0
 
 
 def dgim_by_key(df: DataFrame, key: str, order: list[str], bit: str, size: int, most: int = 2) -> DataFrame:

@@ -166,7 +166,7 @@ def cleaning_log(t: Tables) -> DataFrame:
 @query(
     f"""WITH n AS (SELECT s_suppkey, s_name || ' S.A.C. é' AS raw FROM supplier)
 SELECT s_suppkey, upper(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) AS repaired,
-trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(translate(upper(raw), '{text.ACCENTED}', '{text.PLAIN}'), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '\\b({"|".join(text.LEGAL_FORMS)})\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS normal FROM n"""
+trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(translate(upper(raw), '{text.ACCENTED}', '{text.PLAIN}'), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '{text.legal_pattern()}', ' ', 'g'), '\\s+', ' ', 'g')) AS normal FROM n"""
 )
 def text_normalize(t: Tables) -> DataFrame:
     """Repaired and normalised names."""
@@ -395,7 +395,7 @@ def sql_view_aggregate(t: Tables) -> DataFrame:
 
 @query("""SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def region_rollup(t: Tables) -> DataFrame:
-    """Map-side combined sums over joins with small tables."""
+    """Map-side combined sums over joins with small tables."""
     small = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return t.lineitem.join(small, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 

@@ -17,8 +17,7 @@ CASE v WHEN 0 THEN c_mktsegment || ' ' || c_name WHEN 1 THEN lower(c_mktsegment
 
 
 def normal_sql(col: str) -> str:
-    forms = "|".join(text.LEGAL_FORMS)
-    return f"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(translate(upper({col}), '{text.ACCENTED}', '{text.PLAIN}'), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '\\b({forms})\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(translate(upper({col}), '{text.ACCENTED}', '{text.PLAIN}'), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '{text.legal_pattern()}', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 KEYS = f"""{RECORDS}, nm AS (SELECT code, n AS normal FROM (SELECT code, {normal_sql('name')} AS n, row_number() OVER (PARTITION BY code ORDER BY count(*) DESC, {normal_sql('name')}) AS r FROM rec GROUP BY 1, 2) WHERE r = 1),

@@ -208,5 +208,5 @@ def mllib_minhash(t: Tables) -> DataFrame:
     made = t.benchmark.select("item_id", sm.char_shingles(F.col("text"), 5).alias("sh"))
     vectors = CountVectorizer(inputCol="sh", outputCol="v", binary=True).fit(made).transform(made).select("item_id", "v")
     model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=8, seed=7).fit(vectors)
-    joined = model.approxSimilarityJoin(vectors, vectors, 0.7, "distance")
+    joined = model.approxSimilarityJoin(vectors, vectors, 0.95, "distance")  # the items have little in common
     return joined.select(F.col("datasetA.item_id").alias("a"), F.col("datasetB.item_id").alias("b"), "distance").filter("a < b")

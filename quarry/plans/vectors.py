@@ -56,7 +56,7 @@ def ivf_probe(t: Tables) -> DataFrame:
 
 @query(f"WITH {knn_sql('q.k % 50 = 0', 10)}, {IVF} SELECT count(*) AS n, round(count(iv.query) / count(*), 6) AS recall FROM nn LEFT JOIN iv ON nn.query = iv.query AND nn.neighbour = iv.neighbour")
 def ivf_recall(t: Tables) -> DataFrame:
-    """Share of the exact neighbours that the index finds."""
+    """Share of the exact neighbours that the index finds."""
     found = ivf_probe(t).select("query", "neighbour", F.lit(1).alias("hit"))
     return knn_exact(t).join(found, ["query", "neighbour"], "left").agg(F.count("*").alias("n"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
