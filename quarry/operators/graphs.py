@@ -45,8 +45,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, beta: float = 0.85, rounds: int = 20, start: DataFrame | None = None) -> DataFrame:
-    """node, rank after a fixed number of rounds; nodes without out-edges give their rank to all. start: node, v of a personalised walk."""
+def pagerank(edges: DataFrame, nodes: DataFrame, beta: float = 0.85, rounds: int = 20, start: DataFrame | None = None, tolerance: float | None = None, history: list[float] | None = None) -> DataFrame:
+    """node, rank; nodes without out-edges give their rank to all. start: node, v of a personalised walk.
+
+    It ends after `rounds` rounds, or with a tolerance once the ranks of a round differ by less than it from the last
+    ones, summed over all nodes; `history` receives these sums.
+    """
     n = nodes.count()
     shares = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("_t")), "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("p"))
     base = nodes.join(start, "node", "left").na.fill(0.0, ["v"]) if start is not None else nodes.withColumn("v", F.lit(1.0 / n))
@@ -54,10 +58,17 @@ def pagerank(edges: DataFrame, nodes: DataFrame, beta: float = 0.85, rounds: int
     shares, base = cut(shares), cut(base)
     rank = base.select("node", "v", "_dead", F.col("v").alias("rank"))
     for _ in range(rounds):
+        before = rank
         got = shares.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("_in"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("_dead"), F.col("rank"))), F.lit(0.0)).alias("_lost"))
         rank = base.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "v", "_dead", (beta * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") * F.col("v")) + (1 - beta) * F.col("v")).alias("rank"))
         rank = cut(rank)
+        if tolerance is not None:
+            moved = rank.join(before.select("node", F.col("rank").alias("_last")), "node").agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("_last"))), F.lit(0.0))).first()[0]
+            if history is not None:
+                history.append(moved)
+            if moved < tolerance:
+                break
     return rank.select("node", "rank")
 
 
@@ -238,6 +249,12 @@ def girvan_newman(edges: DataFrame, most_edges: int = 20_000) -> DataFrame:
     return edges.select("graph", "src", "dst").groupBy("graph").applyInPandas(splitter(most_edges), "graph long, parts int, modularity double, node long, label long")
 
 
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links between nodes of a set (node), with all their columns."""
+    ends = nodes.select("node").distinct()
+    return edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
 def link_scores(edges: DataFrame) -> DataFrame:
     """src, dst, common, adamic_adar of pairs with a common neighbour, which counts 1 / ln(max(degree, 2))."""
     two = both_ways(edges.withColumn("weight", F.lit(1.0))).select("src", "dst")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.hashing import portable_hash, sql_hash
 from quarry.operators import graphs as gr
-from quarry.operators.relational import first_per_group, mode_per_key
+from quarry.operators import spectral as sp
+from quarry.operators.relational import first_per_group, mode_per_key, range_ranks
 from quarry.plans.registry import Tables, query
 
 #: Orders shared by two suppliers, at least; with a hundred suppliers nearly all pairs share some.
@@ -318,3 +319,50 @@ def degree_exponent(t: Tables) -> DataFrame:
     """Slope of the log-log degree distribution."""
     z = gr.degrees(shared_orders(t)).groupBy("degree").agg(F.count("*").alias("c"))
     return z.agg(F.round(F.regr_slope(F.log("c"), F.log("degree")), 5).alias("exponent"), F.count("*").alias("points"))
+
+
+@query()
+def pagerank_convergence(t: Tables) -> DataFrame:
+    """Change of the ranks by round until it is under 1e-6 (sequential: held against known ranks in tests)."""
+    e, history = gr.cut(contests(t)), []
+    gr.pagerank(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), 0.5, 100, tolerance=1e-6, history=history)
+    return t.spark.createDataFrame([(i + 1, x) for i, x in enumerate(history)], "round int, change double")
+
+
+@query(f"WITH {LW}, {NODES}, {pagerank_sql(0.85, 8)}, x AS (SELECT n, s_nationkey AS nation, round(rank, 8) AS rank FROM r8 JOIN supplier ON s_suppkey = n) SELECT n AS node, nation, round(percent_rank() OVER (PARTITION BY nation ORDER BY rank), 6) AS percentile FROM x")
+def rank_percentile_by_nation(t: Tables) -> DataFrame:
+    """Percentile of each supplier's PageRank among those of its nation."""
+    placed = ranked(t, 0.85, 8).join(t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("nation")), "node")
+    within = Window.partitionBy("nation").orderBy(F.round("rank", 8))
+    return placed.select("node", "nation", F.round(F.percent_rank().over(within), 6).alias("percentile"))
+
+
+@query(f"WITH {LW}, nd AS (SELECT src AS n FROM lw UNION SELECT dst FROM lw), ps AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i FROM nd) SELECT x.i AS source, y.i AS target, src, dst, weight FROM lw JOIN ps x ON x.n = src JOIN ps y ON y.n = dst")
+def export_edges(t: Tables) -> DataFrame:
+    """Links with the positions of their nodes in the order of ids, as array formats want them."""
+    e = gr.cut(contests(t))
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("at", F.col("node").cast("double"))
+    place = gr.cut(range_ranks(nodes, "at", "node").select("node", (F.col("rank") - 1).alias("i")))
+    side = lambda end, name: place.select(F.col("node").alias(end), F.col("i").alias(name))
+    return e.join(side("src", "source"), "src").join(side("dst", "target"), "dst").select("source", "target", "src", "dst", "weight")
+
+
+@query(f"WITH {LW} SELECT src, dst, contests FROM lw WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) AND dst IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
+def induced_subgraph(t: Tables) -> DataFrame:
+    """Contests between suppliers of the first five nations."""
+    return gr.induced(contests(t), t.supplier.filter("s_nationkey < 5").select(F.col("s_suppkey").alias("node"))).select("src", "dst", "contests")
+
+
+@query()
+def adjacency_svd(t: Tables) -> DataFrame:
+    """Eight singular directions of the normalised adjacency of the whole graph (iterative: held against numpy in tests)."""
+    rows, _, _ = sp.truncated_svd(sp.normalized_adjacency(whole(t)), 8)
+    return rows.select(F.col("row").alias("node"), "vector")
+
+
+@query()
+def market_svd(t: Tables) -> DataFrame:
+    """The first two directions of the loser to winner matrix; the first are its hubs and authorities (as tests hold)."""
+    lost, won, _ = sp.truncated_svd(contests(t).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value")), 2, 12)
+    side = lambda df, key, name: df.select(F.col(key).alias("node"), F.col("vector").alias(name))
+    return side(lost, "row", "as_loser").join(side(won, "col", "as_winner"), "node", "outer")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.hashing import sql_hash
 from quarry.operators import similarity as sm
+from quarry.operators.spectral import truncated_svd
 from quarry.plans.registry import Tables, query
 
 SQUEEZED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -210,3 +211,11 @@ def mllib_minhash(t: Tables) -> DataFrame:
     model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=8, seed=7).fit(vectors)
     joined = model.approxSimilarityJoin(vectors, vectors, 0.95, "distance")  # the items have little in common
     return joined.select(F.col("datasetA.item_id").alias("a"), F.col("datasetB.item_id").alias("b"), "distance").filter("a < b")
+
+
+@query()
+def lsa_documents(t: Tables) -> DataFrame:
+    """TF-IDF of the documents' words, then eight singular directions (iterative: held against numpy in tests)."""
+    words = t.documents.select("doc_id", F.explode(F.split(F.lower(sm.squeeze(F.col("text"))), " ")).alias("w"))
+    weights = sm.tfidf(words, "doc_id", "w").select(F.col("doc_id").alias("row"), F.col("w").alias("col"), F.col("weight").alias("value"))
+    return truncated_svd(weights, 8, 4)[0].select(F.col("row").alias("doc_id"), "vector")

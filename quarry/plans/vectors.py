@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.hashing import portable_hash, sql_hash
 from quarry.operators import graphs as gr
 from quarry.operators import vectors as vc
+from quarry.operators.relational import range_ranks
 from quarry.plans.eda import supplier_features
 from quarry.plans.registry import SQL, Tables, query
 
@@ -128,8 +129,6 @@ def k_distance_elbow(t: Tables) -> DataFrame:
     """C11, V5: fourth-neighbour distances, and the one furthest from the chord."""
     d = vc.nearest(t.embeddings, t.embeddings, "vec_id", "embedding", 4, "l2").filter("place = 4").select("query", "score")
     bounds = d.agg(F.count("*").alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
-    from quarry.operators.relational import range_ranks
-
     ranked = range_ranks(d, "score", "query").crossJoin(F.broadcast(bounds))
     height = F.abs((F.col("rank") - 1) / (F.col("n") - 1) - (F.col("score") - F.col("lowest")) / (F.col("highest") - F.col("lowest")))
     return ranked.groupBy("n", F.round("lowest", 5).alias("lowest"), F.round("highest", 5).alias("highest")).agg(F.round(F.max_by("score", height), 5).alias("elbow"))
@@ -188,3 +187,29 @@ def svd_embedding(t: Tables) -> DataFrame:
     """A rank-8 projection of the given embeddings (MLlib PCA; rows only). It reads no text and no graph."""
     v = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return PCA(k=8, inputCol="features", outputCol="p").fit(v).transform(v).select("vec_id", vector_to_array("p").alias("projected"))
+
+
+HELD = f"""kg AS (SELECT DISTINCT least(query, neighbour) AS src, greatest(query, neighbour) AS dst FROM nn), hd AS (SELECT *, {sql_hash("src || '-' || dst", 21)} % 10 = 0 AS held FROM kg),
+nd AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS c FROM (SELECT src AS n FROM kg UNION SELECT dst FROM kg)),
+ng AS (SELECT DISTINCT least(src, n) AS src, greatest(src, n) AS dst FROM hd JOIN nd ON i = {sql_hash("src || '-' || dst", 22)} % c WHERE held AND src <> n AND (least(src, n), greatest(src, n)) NOT IN (SELECT (src, dst) FROM kg)),
+tw AS (SELECT src, dst FROM hd WHERE NOT held UNION ALL SELECT dst, src FROM hd WHERE NOT held), dg AS (SELECT src, count(*) AS d FROM tw GROUP BY 1),
+aa AS (SELECT x.dst AS src, y.dst AS dst, round(sum(1 / ln(greatest(d, 2))), 6) AS s FROM tw x JOIN tw y ON x.src = y.src AND x.dst < y.dst JOIN dg ON dg.src = x.src GROUP BY ALL),
+sc AS (SELECT pos, coalesce(s, 0) AS s FROM (SELECT src, dst, true AS pos FROM hd WHERE held UNION ALL SELECT src, dst, false FROM ng) LEFT JOIN aa USING (src, dst)),
+rk AS (SELECT pos, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM sc)"""
+
+
+@query(f"WITH {knn_sql('true', 5)}, {HELD}, c AS (SELECT count(*) FILTER (WHERE pos) AS pos, count(*) FILTER (WHERE NOT pos) AS neg, sum(r) FILTER (WHERE pos) AS s FROM rk) SELECT pos, neg, round((s - pos * (pos + 1) / 2) / nullif(pos * neg, 0), 6) AS auc FROM c")
+def holdout_link_auc(t: Tables) -> DataFrame:
+    """A tenth of the neighbour graph's links is held out, each with a node drawn by hash that its first end isn't linked to; Adamic-Adar on the rest must tell them apart."""
+    graph = gr.cut(knn_graph(t))
+    name = F.concat_ws("-", "src", "dst")
+    marked = gr.cut(graph.select("src", "dst", (portable_hash(name, 21) % 10 == 0).alias("held"), portable_hash(name, 22).alias("draw")))
+    nodes = graph.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("at", F.col("node").cast("double"))
+    places = gr.cut(range_ranks(nodes, "at", "node").select("node", (F.col("rank") - 1).alias("i")))
+    total = places.agg(F.count("*").alias("c"))
+    drawn = marked.filter("held").crossJoin(F.broadcast(total)).select("src", (F.col("draw") % F.col("c")).alias("i")).join(places, "i").filter("src <> node")
+    negative = drawn.select(F.least("src", "node").alias("src"), F.greatest("src", "node").alias("dst")).distinct().join(graph, ["src", "dst"], "left_anti")
+    asked = marked.filter("held").select("src", "dst", F.lit(True).alias("link")).unionByName(negative.withColumn("link", F.lit(False)))
+    scores = gr.link_scores(marked.filter("not held").select("src", "dst")).select("src", "dst", F.round("adamic_adar", 6).alias("s"))
+    scored = asked.join(scores, ["src", "dst"], "left").na.fill(0.0, ["s"])
+    return gr.auc(scored, "s", "link").withColumn("auc", F.round("auc", 6))

@@ -3,12 +3,14 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quarry.functions import text
-from quarry.operators import graphs, patterns, recommend, relational, resolution, sketches, vectors
+from quarry.operators import graphs, patterns, recommend, relational, resolution, sketches, spectral, vectors
 from quarry.operators import similarity as sm
 from quarry.plans import catalog
+from quarry.session import plan_facts
 from quarry.sources import files
 
 
@@ -181,6 +183,117 @@ def test_nearest_and_blocks(spark):
     assert [(r["neighbour"], r["score"]) for r in got] == [(9, 1.0), (11, 1.0)]
 
 
+def test_svd_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random((30, 20)) < 0.3, rng.normal(size=(30, 20)), 0) + np.outer(np.linspace(1, 3, 30), np.linspace(2, 1, 20)) * (rng.random((30, 20)) < 0.5)
+    entries = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "row long, col long, value double")
+    rows, cols, values = spectral.truncated_svd(entries, 4, 30)
+    left = np.zeros((30, 4))
+    for r in rows.collect():
+        left[r["row"]] = r["vector"]
+    right = np.array([r["vector"] for r in sorted(cols.collect(), key=lambda r: r["col"])])
+    true = np.linalg.svd(a, compute_uv=False)[:4]
+    assert np.allclose(values[:3], true[:3], rtol=1e-4) and values[3] == pytest.approx(true[3], rel=0.03) and np.allclose(right.T @ right, np.eye(4), atol=1e-6) and np.allclose(left, a @ right, atol=1e-8)
+    assert np.allclose(np.abs(left[:, 0]), np.abs(np.linalg.svd(a)[0][:, 0]) * true[0], rtol=1e-3, atol=1e-4)
+
+
+def test_market_svd_leads_with_hubs_and_authorities(spark):
+    edges = spark.createDataFrame([(1, 2, 3.0), (1, 3, 1.0), (2, 3, 2.0), (4, 2, 1.0), (4, 3, 5.0), (3, 1, 1.0)], "src long, dst long, weight double")
+    lost, won, _ = spectral.truncated_svd(edges.toDF("row", "col", "value"), 2, 20)
+    found = {r["node"]: r for r in graphs.hits(edges, 30).collect()}
+    first = {r["row"]: r["vector"][0] for r in lost.collect()}
+    length = math.sqrt(sum(x * x for x in first.values()))
+    assert all(abs(x) / length == pytest.approx(found[n]["hub"], abs=1e-5) for n, x in first.items())
+    assert all(abs(r["vector"][0]) == pytest.approx(found[r["col"]]["authority"], abs=1e-5) for r in won.collect())
+
+
+def test_pagerank_to_a_tolerance(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (4, 1, 1.0), (1, 5, 1.0)], "src long, dst long, weight double")
+    nodes, history = spark.range(1, 6).withColumnRenamed("id", "node"), []
+    got = {r["node"]: r["rank"] for r in graphs.pagerank(edges, nodes, 0.5, 100, tolerance=1e-9, history=history).collect()}
+    p = np.zeros((5, 5))
+    for a, b in ((0, 1), (0, 4), (1, 2), (2, 0), (3, 0)):
+        p[b, a] = 0.5 if a == 0 else 1.0
+    p[:, 4] = 0.2  # a dead end
+    want = np.linalg.solve(np.eye(5) - 0.5 * p, np.full(5, 0.1))
+    assert [got[i + 1] for i in range(5)] == pytest.approx(want.tolist(), abs=1e-8) and history[-1] < 1e-9 <= history[-2]
+    assert sorted(map(tuple, graphs.induced(edges, spark.range(1, 4).withColumnRenamed("id", "node")).select("src", "dst").collect())) == [(1, 2), (2, 3), (3, 1)]
+
+
+def test_neighbours_equal_brute_force(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    rows = [(u, f"i{i}", float(rnd.choice((0.0, 0.5, 1.0, 2.0, -1.0)))) for u in range(700) for i in rnd.choice(12, 4, replace=False)]
+    monkeypatch.setattr(recommend, "USERS", 90)
+    monkeypatch.setattr(recommend, "ITEMS", 5)
+    got = {}
+    for r in recommend.neighbours(spark.createDataFrame(rows, "user long, item string, rating double"), 3).collect():
+        got.setdefault(r["user"], []).append((-r["cosine"], r["other"]))
+    table, held = np.zeros((700, 12)), np.zeros((700, 12))
+    for u, i, x in rows:
+        table[u, int(i[1:])], held[u, int(i[1:])] = x, 1
+    norm = np.sqrt((table**2).sum(axis=1))
+    cosine = np.round(table @ table.T / np.maximum(np.outer(norm, norm), 1e-300), 9)
+    for u in range(700):
+        some = [(-cosine[u, v], v) for v in range(700) if v != u and norm[u] > 0 and norm[v] > 0 and held[u] @ held[v] > 0]
+        mine, best = sorted(got.get(u, [])), sorted(some)[:3]
+        assert [b for _, b in mine] == [b for _, b in best] and [a for a, _ in mine] == pytest.approx([a for a, _ in best], abs=2e-9)
+
+
+def test_density_clusters_equal_brute_force(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(5, 6))
+    points = np.concatenate([centres[i % 5] + rnd.normal(size=6) * (0.25 if i % 3 else 0.9) for i in range(900)]).reshape(-1, 6)
+    points[100:160], points[200], points[201] = points[100], 0, 0  # copies, and zeros that are near nothing
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "k long, v array<double>")
+    monkeypatch.setattr(vectors.bl, "blocks_for", lambda n, *_, **__: 7)
+    monkeypatch.setattr(vectors.bl, "TILE", 50)
+    got = {r["k"]: r["cluster"] for r in vectors.density_clusters(df, "k", "v", 0.97, 4).collect()}
+    unit = points / np.maximum(np.linalg.norm(points, axis=1), 1e-300)[:, None]
+    near = np.round(unit @ unit.T, 6) >= 0.97
+    np.fill_diagonal(near, True)
+    core, label = near.sum(axis=1) >= 4, {}
+    for i in np.flatnonzero(core):
+        stack = [i] if i not in label else []
+        label.setdefault(i, i)
+        while stack:
+            for j in np.flatnonzero(near[stack.pop()] & core):
+                if j not in label:
+                    label[j] = label[i]
+                    stack.append(j)
+    want = {i: label.get(i, min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1)) for i in range(900)}
+    assert got == want and len(set(want.values())) >= 4 and -1 in want.values()
+
+
+def test_copies_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sm, "COPIES", 3)
+    monkeypatch.setattr(sm, "SETS", 2)
+    base = "the quick brown fox jumps over the lazy dog and runs away from all of them at once".split()
+    texts = [" ".join(base)] * 10 + [" ".join(base[:14])] * 2 + [" ".join(base[3:])] * 4 + ["something else entirely is written here today", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    signed = df.select("doc_id", F.sha2("text", 256).alias("same"), sm.word_minhash(F.col("text"), 3, 32).alias("signature"))
+    old = df.select("doc_id", sm.minhash(sm.word_shingles(F.col("text"), 3), 32).alias("s"))
+    assert signed.join(old, "doc_id").filter("signature <> s").count() == 0
+    sets = [sm.word_sets(t, 3) if t is not None else set() for t in texts]
+    bucket = {r["doc_id"]: {tuple(r["s"][4 * i : 4 * i + 4]) + (i,) for i in range(8)} for r in old.collect()}
+    want = sorted((i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if bucket[i] & bucket[j])
+    assert sorted(map(tuple, sm.lsh_candidates(old, "doc_id", "s", 8, 4).collect())) == want
+    assert sm.candidate_count(old, "doc_id", "s", 8, 4).first()[0] == len(want)
+    reps, members = sm.classed(signed.filter("same is not null"), "doc_id", "same")
+    found = sm.verified(sm.rep_pairs(reps, 8, 4), df.select(F.col("doc_id").alias("rep"), "text"), 3, 0.5)
+    got = sm.copied(found.unionByName(sm.with_itself(reps).withColumn("jaccard", F.lit(1.0))), reps, members).collect()
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert sorted((r["a"], r["b"], round(r["jaccard"], 9)) for r in got) == [(a, b, round(jaccard(sets[a], sets[b]), 9)) for a, b in want if sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.5]
+
+
+def test_plan_facts_tell_joins_apart(spark):
+    a, b = spark.range(1000), spark.range(500)
+    hinted = {h: a.join(b.hint(h), "id") for h in ("broadcast", "merge", "shuffle_hash")}
+    facts = {h: plan_facts(df) for h, df in hinted.items()}
+    assert facts["broadcast"]["broadcast_joins"] == 1 and facts["broadcast"]["exchanges"] == 0
+    assert facts["merge"]["merge_joins"] == 1 and facts["merge"]["exchanges"] == 2
+    assert {df.count() for df in hinted.values()} == {500} and facts["broadcast"]["python"] == 0
+
+
 def test_csv_packages_and_memo(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,name,x\n0001,"a ""q"" b",1\n')
     (tmp_path / "b.csv").write_text("id,y\n0002,7\n")
