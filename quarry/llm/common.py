@@ -82,7 +82,6 @@ def lean(run: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
 def pieces(frames: Iterator[pd.DataFrame], column: str, max_chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches into runs of at most max_chars characters (at least one row each), so that memory doesn't follow the row count."""
     for frame in frames:
-        release_memory()
         size = frame[column].str.len().fillna(0).to_numpy()
         run = (size.cumsum() // max_chars).astype("int64") if len(size) else size
         if len(run) and run[-1] != run[0]:

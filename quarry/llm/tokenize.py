@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Texts with these need the slower cut: white space beside white space, or white space other than space and line feed.
 ODD = r"\x00|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SAFE = re.compile(r"(?<=\S)(?= \S)")
-KEPT_CHARS, KEPT_PIECES = 48, 100_000
+KEPT_CHARS, KEPT_PIECES = 48, 400_000
 
 RUN_CHARS = 2_000_000  # of texts that are encoded at once
 
@@ -60,8 +61,10 @@ class PieceEncoder:
 
     def _learn(self, new: list[str]) -> list[int]:
         """Encode pieces, and return their numbers in this encoder."""
-        spaced = [p for p in new if p.startswith(" ") and p.find(" ", 1) < 0 and len(p) > 1]
-        rest = [p for p in new if not (p.startswith(" ") and p.find(" ", 1) < 0 and len(p) > 1)]
+        spaced: list[str] = []
+        rest: list[str] = []
+        for p in new:
+            (spaced if p.rfind(" ") == 0 and len(p) > 1 else rest).append(p)
         number: dict[str, int] = {}
         runs = [spaced[at : at + 100] for at in range(0, len(spaced), 100)]
         for part, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(part) for part in runs], add_special_tokens=False), strict=True):
@@ -107,7 +110,7 @@ class PieceEncoder:
             order = np.concatenate([order, np.flatnonzero(odd)])
         coded = flat.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        codes = np.array([self.known.get(w, -1) for w in words], np.int64)
+        codes = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         if len(missing := np.flatnonzero(codes < 0)):
             codes[missing] = self._learn([words[i] for i in missing])
         ids, starts, lengths = np.frombuffer(self.ids, np.uint32).copy(), np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
