@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import pieces
-from quarry.llm.tokenize import RUN_CHARS, encoder
+from quarry.llm.tokenize import KEPT_PIECES, RUN_CHARS, encoder
 
 #: doc, start in the document, length, sequence, offset in the sequence
 Piece = tuple[int, int, int, int, int]
@@ -40,7 +40,7 @@ def balance(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic:
     return out
 
 
-def packer(path: str, capacity: int, end_id: int, group: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def packer(path: str, capacity: int, end_id: int, group: int, kept: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The task: whole sequences are cut from long documents at once, the rests are balanced `group` at a time."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,7 @@ def packer(path: str, capacity: int, end_id: int, group: int) -> Callable[[Itera
 
         for part in pieces(frames, "text", RUN_CHARS):
             rows = []
-            ids, ends = encoder(path).encode(part["text"].tolist())
+            ids, ends = encoder(path, kept).encode(part["text"].tolist())
             for i, doc_id in enumerate(part["doc_id"].astype("Int64").tolist()):
                 own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id))
                 whole = len(own) // capacity * capacity
@@ -86,15 +86,16 @@ def packer(path: str, capacity: int, end_id: int, group: int) -> Callable[[Itera
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, group: int = 8192) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, group: int = 8192, kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """Pack all documents into sequences of at most `capacity` tokens; one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is its ids and end_id. Each
     task packs the documents it reads, with no shuffle: under one capacity of padding for each `group` documents.
-    sequence_id holds the task's number in its high bits and isn't gapless.
+    sequence_id holds the task's number in its high bits and isn't gapless. A worker remembers the ids of up to about
+    kept_pieces words: fewer take less memory and more time, and give the same rows.
 
     Null or empty text: the end id alone. Null ids are kept. Repeated rows are packed each. Very long texts fill
     sequences of their own and leave their rest. Empty input: no rows. Further columns aren't read.
     """
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    return slim.mapInPandas(packer(tokenizer_path, capacity, end_id, group), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return slim.mapInPandas(packer(tokenizer_path, capacity, end_id, group, kept_pieces), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

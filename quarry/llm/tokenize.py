@@ -28,10 +28,11 @@ RUN_CHARS = 2_000_000  # of texts that are encoded at once
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a tokenizer file."""
+def encoder(path: str, kept: int = KEPT_PIECES) -> PieceEncoder:
+    """The worker's encoder for a tokenizer file. It lives on between tasks, so `kept` bounds what an idle worker holds."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].kept = kept
     return _encoders[path]
 
 
@@ -42,11 +43,12 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Strings of special tokens within a text are ordinary text. Memory: at most KEPT_PIECES pieces are kept."""
+    """Strings of special tokens within a text are ordinary text. Memory: at most `kept` pieces are kept."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT_PIECES) -> None:
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
@@ -92,7 +94,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), and the offset of each text's first id with the end as last. Null: as empty."""
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) > self.kept:
             self.clear()
         column = pa.array(["" if t is None else t for t in texts], pa.large_string())
         odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)
