@@ -34,8 +34,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence of at most 1024 tokens."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """One row per piece of a document in a sequence of at most 1024 tokens. Workers, which other stages share, keep few words."""
+    return packing.pack_documents(docs, tokenizer_path(), kept_pieces=100_000)
 
 
 STAGES = [
