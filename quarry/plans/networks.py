@@ -13,11 +13,11 @@ from quarry.operators import spectral as sp
 from quarry.operators.relational import first_per_group, mode_per_key, range_ranks
 from quarry.plans.registry import Tables, query
 
-#: Orders shared by two suppliers, at least; with a hundred suppliers nearly all pairs share some.
-LEAST = 12
+#: Orders shared by two suppliers, at least, and members of an order that counts, at most.
+LEAST, MOST = 2, 50
 
 PART = "pt AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS n FROM lineitem), sz AS (SELECT g, count(*) AS c FROM pt GROUP BY 1)"
-COPART = f"{PART}, ed AS (SELECT x.n AS src, y.n AS dst, count(*) AS shared, sum(1.0 / (c - 1)) AS weight FROM pt x JOIN pt y ON x.g = y.g AND x.n < y.n JOIN sz ON sz.g = x.g AND c BETWEEN 2 AND 50 GROUP BY ALL HAVING count(*) >= {LEAST})"
+COPART = f"{PART}, ed AS (SELECT x.n AS src, y.n AS dst, count(*) AS shared, sum(1.0 / (c - 1)) AS weight FROM pt x JOIN pt y ON x.g = y.g AND x.n < y.n JOIN sz ON sz.g = x.g AND c BETWEEN 2 AND {MOST} GROUP BY ALL HAVING count(*) >= {LEAST})"
 
 
 def participation(t: Tables) -> DataFrame:
@@ -25,12 +25,7 @@ def participation(t: Tables) -> DataFrame:
 
 
 def shared_orders(t: Tables) -> DataFrame:
-    return gr.project(participation(t), "g", "n", 50, LEAST)
-
-
-def whole(t: Tables) -> DataFrame:
-    """The graph by the reference's minimum of two shared orders, for queries that no SQL fixes to LEAST or a higher one."""
-    return gr.project(participation(t), "g", "n")
+    return gr.project(participation(t), "g", "n", MOST, LEAST)
 
 
 @query(f"WITH {COPART} SELECT src, dst, shared, round(weight, 6) AS weight FROM ed")
@@ -169,17 +164,10 @@ def head_to_head(t: Tables) -> DataFrame:
     return k.select("*", F.when(both == 0, "lose together").when(low == 0, "always same").otherwise("alternate").alias("pattern"), F.round(low / F.greatest(both, F.lit(1)), 6).alias("alternation"))
 
 
-STRONG = COPART.replace(f">= {LEAST}", ">= 28")
-
-
-def strong(t: Tables) -> DataFrame:
-    return gr.project(participation(t), "g", "n", 50, 28)
-
-
-@query(f"WITH RECURSIVE {STRONG}, {TWO}, nd AS (SELECT DISTINCT src AS n FROM tw), reach AS (SELECT n, n AS root FROM nd UNION SELECT tw.dst, root FROM reach JOIN tw ON tw.src = reach.n), c AS (SELECT n, min(root) AS component FROM reach GROUP BY 1) SELECT n AS node, component, count(*) OVER (PARTITION BY component) AS size FROM c")
+@query(f"WITH RECURSIVE {COPART}, {TWO}, nd AS (SELECT DISTINCT src AS n FROM tw), reach AS (SELECT n, n AS root FROM nd UNION SELECT tw.dst, root FROM reach JOIN tw ON tw.src = reach.n), c AS (SELECT n, min(root) AS component FROM reach GROUP BY 1) SELECT n AS node, component, count(*) OVER (PARTITION BY component) AS size FROM c")
 def connected_components(t: Tables) -> DataFrame:
-    """Components of the strong links, with their size."""
-    e = gr.cut(strong(t))
+    """Components of suppliers that share orders, with their size."""
+    e = gr.cut(shared_orders(t))
     found = gr.connected_components(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     return found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
@@ -222,10 +210,18 @@ def community_profiles(t: Tables) -> DataFrame:
 AA = "dg AS (SELECT src, count(*) AS d FROM tw GROUP BY 1), aa AS (SELECT x.dst AS src, y.dst AS dst, count(*) AS common, sum(1 / ln(greatest(d, 2))) AS adamic_adar FROM tw x JOIN tw y ON x.src = y.src AND x.dst < y.dst JOIN dg ON dg.src = x.src GROUP BY ALL)"
 
 
-@query(f"WITH {STRONG}, {TWO}, {AA} SELECT src, dst, common, round(adamic_adar, 6) AS adamic_adar FROM aa")
+@query(f"WITH {COPART}, {TWO}, {AA} SELECT src, dst, common, round(adamic_adar, 6) AS adamic_adar FROM aa")
 def common_neighbors_adamic_adar(t: Tables) -> DataFrame:
     """Link heuristics."""
-    return gr.link_scores(gr.cut(strong(t))).withColumn("adamic_adar", F.round("adamic_adar", 6))
+    return gr.link_scores(gr.cut(shared_orders(t))).withColumn("adamic_adar", F.round("adamic_adar", 6))
+
+
+#: Links of link_auc, and of edge_betweenness, whose rows are sources times links.
+STRONG = COPART.replace(f">= {LEAST}", ">= 28")
+
+
+def strong(t: Tables) -> DataFrame:
+    return gr.project(participation(t), "g", "n", MOST, 28)
 
 
 @query(f"WITH {STRONG}, {TWO}, {AA}, s AS (SELECT round(adamic_adar, 6) AS s, e.src IS NOT NULL AS pos FROM aa LEFT JOIN ed e USING (src, dst)), r AS (SELECT pos, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM s), c AS (SELECT count(*) FILTER (WHERE pos) AS pos, count(*) FILTER (WHERE NOT pos) AS neg, sum(r) FILTER (WHERE pos) AS s FROM r) SELECT pos, neg, round((s - pos * (pos + 1) / 2) / nullif(pos * neg, 0), 6) AS auc FROM c")
@@ -287,16 +283,16 @@ def walks(edges: DataFrame) -> DataFrame:
     return out
 
 
-@query(f"WITH {STRONG}, {TWO}, {walk_sql()} SELECT walk, CAST(step AS INT) AS step, place FROM wk")
+@query(f"WITH {COPART}, {TWO}, {walk_sql()} SELECT walk, CAST(step AS INT) AS step, place FROM wk")
 def deepwalk_walks(t: Tables) -> DataFrame:
-    """E3 (p = q = 1): walks over the strong links."""
-    return walks(strong(t))
+    """E3 (p = q = 1): walks over the links."""
+    return walks(shared_orders(t))
 
 
-@query(f"WITH {STRONG}, {TWO}, {walk_sql()} SELECT x.place AS center, y.place AS context, count(*) AS n FROM wk x JOIN wk y ON x.walk = y.walk AND x.step <> y.step AND abs(x.step - y.step) <= 2 GROUP BY ALL")
+@query(f"WITH {COPART}, {TWO}, {walk_sql()} SELECT x.place AS center, y.place AS context, count(*) AS n FROM wk x JOIN wk y ON x.walk = y.walk AND x.step <> y.step AND abs(x.step - y.step) <= 2 GROUP BY ALL")
 def context_pairs(t: Tables) -> DataFrame:
     """Nodes within two steps of each other on a walk."""
-    w = gr.cut(walks(strong(t)))
+    w = gr.cut(walks(shared_orders(t)))
     other = w.select("walk", F.col("step").alias("s2"), F.col("place").alias("context"))
     return w.join(other, "walk").filter((F.col("step") != F.col("s2")) & (F.abs(F.col("step") - F.col("s2")) <= 2)).groupBy(F.col("place").alias("center"), "context").agg(F.count("*").alias("n"))
 
@@ -304,14 +300,14 @@ def context_pairs(t: Tables) -> DataFrame:
 @query()
 def walk_embedding(t: Tables) -> DataFrame:
     """E5: Word2Vec over walks on the whole graph (hierarchical softmax, not negative sampling; rows only)."""
-    made = walks(whole(t)).groupBy("walk").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "place"))), lambda s: s["place"].cast("string")).alias("nodes"))
+    made = walks(shared_orders(t)).groupBy("walk").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "place"))), lambda s: s["place"].cast("string")).alias("nodes"))
     return Word2Vec(vectorSize=8, minCount=0, seed=7, inputCol="nodes", outputCol="v").fit(made).getVectors()
 
 
 @query()
 def spectral_clusters(t: Tables) -> DataFrame:
     """Power iteration clustering of the whole weighted graph (MLlib; rows only)."""
-    return PowerIterationClustering(k=4, maxIter=10, weightCol="weight").assignClusters(whole(t).select("src", "dst", "weight"))
+    return PowerIterationClustering(k=4, maxIter=10, weightCol="weight").assignClusters(shared_orders(t).select("src", "dst", "weight"))
 
 
 @query(f"WITH {COPART}, d AS (SELECT src AS n, count(*) AS d FROM (SELECT src FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1), z AS (SELECT d, count(*) AS c FROM d GROUP BY 1) SELECT round(regr_slope(ln(c), ln(d)), 5) AS exponent, count(*) AS points FROM z")
@@ -356,7 +352,7 @@ def induced_subgraph(t: Tables) -> DataFrame:
 @query()
 def adjacency_svd(t: Tables) -> DataFrame:
     """Eight singular directions of the normalised adjacency of the whole graph (iterative: held against numpy in tests)."""
-    rows, _, _ = sp.truncated_svd(sp.normalized_adjacency(whole(t)), 8)
+    rows, _, _ = sp.truncated_svd(sp.normalized_adjacency(shared_orders(t)), 8)
     return rows.select(F.col("row").alias("node"), "vector")
 
 
