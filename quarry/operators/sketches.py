@@ -29,7 +29,8 @@ def bottom_k(df: DataFrame, unique: str, k: int, seed: int = 0) -> DataFrame:
 
 
 def bloom_size(expected: int, rate: float) -> tuple[int, int]:
-    """Bits and hash functions for a false positive rate."""
+    """Bits and hash functions for a false positive rate; no keys count as one."""
+    expected = max(expected, 1)
     bits = math.ceil(-expected * math.log(rate) / math.log(2) ** 2)
     return bits, max(1, round(bits / expected * math.log(2)))
 
@@ -53,6 +54,11 @@ def bloom_probe(keys: DataFrame, key: str, filter_bits: DataFrame, bits: int, ha
     return hit.groupBy(key).agg((F.count("*") == F.count("_set")).alias("maybe"))
 
 
+def cms_width(expected: int, rate: float, depth: int) -> int:
+    """Cells of each row for so many keys: one that isn't held shares all its cells with a probability of `rate`; no keys count as one."""
+    return math.ceil(max(expected, 1) / -math.log(1 - rate ** (1.0 / depth)))
+
+
 def cms_cells(key: Column, width: int, depth: int) -> Column:
     """(row, cell) of a key in each row of a count-min sketch."""
     return F.array(*[F.struct(F.lit(d).alias("row"), (portable_hash(key, 100 + d) % width).alias("cell")) for d in range(depth)])

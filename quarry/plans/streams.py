@@ -66,44 +66,59 @@ def sample_drift(t: Tables) -> DataFrame:
     return both.select("event_type", F.round("a", 6).alias("stream_pct"), F.round("s", 6).alias("sample_pct"), F.round(worst, 6).alias("worst"))
 
 
-BITS, HASHES = sk.bloom_size(1000, 0.01)
+RATE = 0.01  # of false positives, for filters and sketches sized by their counted keys
 INSERTED = "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'"
+BLOOM_SIZE = f"bz AS (SELECT bits, CAST(greatest(1, round(bits / n * ln(2))) AS BIGINT) AS hashes FROM (SELECT n, CAST(ceil(-n * ln({RATE}) / (ln(2) * ln(2))) AS BIGINT) AS bits FROM (SELECT greatest(count(*), 1) AS n FROM ({INSERTED}))))"
+
+
+def pending(t: Tables) -> DataFrame:
+    """Customers with pending orders: the keys that the filters hold."""
+    return t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
 
 
 def bloom_sql(keys: str, name: str) -> str:
-    first, second = f"{sql_hash('k', 1)} % {BITS}", f"{sql_hash('k', 2)} % {BITS}"
-    return f"{name} AS (SELECT DISTINCT k, ({first} + i * (CASE WHEN {second} = 0 THEN 1 ELSE {second} END)) % {BITS} AS bit FROM ({keys}), (SELECT unnest(range(0, {HASHES})) AS i))"
+    step = "CASE WHEN h2 = 0 THEN 1 ELSE h2 END"
+    return f"{name} AS (SELECT DISTINCT k, (h1 + i * {step}) % bits AS bit FROM (SELECT k, bits, {sql_hash('k', 1)} % bits AS h1, {sql_hash('k', 2)} % bits AS h2, unnest(range(0, hashes)) AS i FROM ({keys}), bz))"
 
 
-@query(f"WITH {bloom_sql(INSERTED, 'b')} SELECT DISTINCT CAST(bit AS BIGINT) AS bit FROM b")
+@query(f"WITH {BLOOM_SIZE}, {bloom_sql(INSERTED, 'b')} SELECT DISTINCT CAST(bit AS BIGINT) AS bit FROM b")
 def bloom_build(t: Tables) -> DataFrame:
-    """The bits that customers with pending orders set."""
-    return sk.bloom_build(t.orders.filter("o_orderstatus = 'P'"), "o_custkey", BITS, HASHES)
+    """The bits that customers with pending orders set, of a filter sized by their number."""
+    keys = pending(t)
+    return sk.bloom_build(keys, "c_custkey", *sk.bloom_size(keys.count(), RATE))
 
 
-@query(f"""WITH {bloom_sql(INSERTED, 'b')}, {bloom_sql('SELECT c_custkey AS k FROM customer', 'p')}, s AS (SELECT DISTINCT bit FROM b),
+@query(f"""WITH {BLOOM_SIZE}, {bloom_sql(INSERTED, 'b')}, {bloom_sql('SELECT c_custkey AS k FROM customer', 'p')}, s AS (SELECT DISTINCT bit FROM b),
 r AS (SELECT k, count(*) = count(s.bit) AS maybe FROM p LEFT JOIN s USING (bit) GROUP BY 1) SELECT k AS c_custkey, maybe, k IN ({INSERTED}) AS member FROM r""")
 def bloom_probe(t: Tables) -> DataFrame:
     """Membership of all customers, against the truth."""
-    pending = t.orders.filter("o_orderstatus = 'P'")
-    found = sk.bloom_probe(t.customer, "c_custkey", sk.bloom_build(pending, "o_custkey", BITS, HASHES), BITS, HASHES)
-    truth = pending.select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("_in", F.lit(True))
-    return found.join(truth, "c_custkey", "left").select("c_custkey", "maybe", F.coalesce("_in", F.lit(False)).alias("member"))
+    keys = pending(t)
+    size = sk.bloom_size(keys.count(), RATE)
+    found = sk.bloom_probe(t.customer, "c_custkey", sk.bloom_build(keys, "c_custkey", *size), *size)
+    return found.join(keys.withColumn("_in", F.lit(True)), "c_custkey", "left").select("c_custkey", "maybe", F.coalesce("_in", F.lit(False)).alias("member"))
+
+
+DEPTH = 4
+
+
+def cms_size(keys: str) -> str:
+    return f"cz AS (SELECT CAST(ceil(greatest(count(DISTINCT k), 1) / -ln(1 - {RATE} ** (1.0 / {DEPTH}))) AS BIGINT) AS width FROM ({keys}))"
 
 
-WIDTH, DEPTH = 128, 4
+def cms_cells(keys: str) -> str:
+    return " UNION ALL ".join(f"SELECT k, {d} AS r, {sql_hash('k', 100 + d)} % width AS c FROM ({keys}), cz" for d in range(DEPTH))
 
 
 def cms_sql(source: str) -> str:
-    cells = " UNION ALL ".join(f"SELECT k, {d} AS r, {sql_hash('k', 100 + d)} % {WIDTH} AS c FROM ({source})" for d in range(DEPTH))
-    return f"cells AS ({cells}), sketch AS (SELECT r, c, count(*) AS n FROM cells GROUP BY ALL), est AS (SELECT k, min(n) AS estimate FROM (SELECT DISTINCT k, r, c FROM cells) JOIN sketch USING (r, c) GROUP BY 1)"
+    return f"{cms_size(source)}, cells AS ({cms_cells(source)}), sketch AS (SELECT r, c, count(*) AS n FROM cells GROUP BY ALL), est AS (SELECT k, min(n) AS estimate FROM (SELECT DISTINCT k, r, c FROM cells) JOIN sketch USING (r, c) GROUP BY 1)"
 
 
 @query(f"WITH {cms_sql('SELECT user_id AS k FROM events')}, tr AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) SELECT k AS user_id, n, CAST(estimate AS BIGINT) AS estimate FROM tr JOIN est USING (k)")
 def cms_estimate(t: Tables) -> DataFrame:
-    """Events by user, true and estimated."""
+    """Events by user, true and estimated by a sketch that is sized by the number of users."""
     true = t.events.groupBy("user_id").agg(F.count("*").alias("n"))
-    return true.join(sk.cms_estimate(t.events, "user_id", sk.cms_build(t.events, "user_id", WIDTH, DEPTH), WIDTH, DEPTH), "user_id")
+    width = sk.cms_width(true.filter("user_id is not null").count(), RATE, DEPTH)
+    return true.join(sk.cms_estimate(t.events, "user_id", sk.cms_build(t.events, "user_id", width, DEPTH), width, DEPTH), "user_id")
 
 
 @query("""WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events), d AS (SELECT unnest(range(1, 9)) AS d), s AS (SELECT CAST(d AS INT) AS d, CAST(ceil(n / -ln(1 - 0.01 ** (1.0 / d))) AS BIGINT) AS w FROM d, n)
@@ -115,16 +130,18 @@ def cms_membership_sizing(t: Tables) -> DataFrame:
     return sized.select("d", "w", (F.col("d") * F.col("w") * 8).alias("bytes"), (F.col("d") * F.col("w") == F.min(F.col("d") * F.col("w")).over(Window.partitionBy())).alias("best"))
 
 
-@query(f"""WITH {cms_sql(INSERTED)}, {bloom_sql(INSERTED, 'b')}, {bloom_sql('SELECT c_custkey AS k FROM customer', 'p')}, s AS (SELECT DISTINCT bit FROM b), r AS (SELECT k, count(*) = count(s.bit) AS maybe FROM p LEFT JOIN s USING (bit) GROUP BY 1),
-pc AS ({" UNION ALL ".join(f"SELECT c_custkey AS k, {d} AS r, {sql_hash('c_custkey', 100 + d)} % {WIDTH} AS c FROM customer" for d in range(DEPTH))}), m AS (SELECT pc.k, min(coalesce(n, 0)) > 0 AS maybe FROM pc LEFT JOIN sketch USING (r, c) GROUP BY 1),
+@query(f"""WITH {cms_sql(INSERTED)}, {BLOOM_SIZE}, {bloom_sql(INSERTED, 'b')}, {bloom_sql('SELECT c_custkey AS k FROM customer', 'p')}, s AS (SELECT DISTINCT bit FROM b), r AS (SELECT k, count(*) = count(s.bit) AS maybe FROM p LEFT JOIN s USING (bit) GROUP BY 1),
+pc AS ({cms_cells('SELECT c_custkey AS k FROM customer')}), m AS (SELECT pc.k, min(coalesce(n, 0)) > 0 AS maybe FROM pc LEFT JOIN sketch USING (r, c) GROUP BY 1),
 x AS (SELECT 'bloom' AS structure, k, maybe FROM r UNION ALL SELECT 'count-min', k, maybe FROM m)
 SELECT structure, count(*) FILTER (WHERE maybe AND k NOT IN ({INSERTED})) AS false_positives, count(*) FILTER (WHERE NOT maybe AND k IN ({INSERTED})) AS false_negatives FROM x GROUP BY 1""")
 def bloom_vs_cms(t: Tables) -> DataFrame:
-    """T5: both structures on one membership task."""
-    pending = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    bloom = sk.bloom_probe(t.customer, "c_custkey", sk.bloom_build(pending, "c_custkey", BITS, HASHES), BITS, HASHES).select(F.lit("bloom").alias("structure"), "c_custkey", "maybe")
-    cms = sk.cms_estimate(t.customer, "c_custkey", sk.cms_build(pending, "c_custkey", WIDTH, DEPTH), WIDTH, DEPTH).select(F.lit("count-min").alias("structure"), "c_custkey", (F.col("estimate") > 0).alias("maybe"))
-    both = bloom.unionByName(cms).join(pending.withColumn("_in", F.lit(True)), "c_custkey", "left")
+    """T5: both structures, sized for the same keys and rate, on one membership task."""
+    keys = pending(t)
+    held = keys.count()
+    size, width = sk.bloom_size(held, RATE), sk.cms_width(held, RATE, DEPTH)
+    bloom = sk.bloom_probe(t.customer, "c_custkey", sk.bloom_build(keys, "c_custkey", *size), *size).select(F.lit("bloom").alias("structure"), "c_custkey", "maybe")
+    cms = sk.cms_estimate(t.customer, "c_custkey", sk.cms_build(keys, "c_custkey", width, DEPTH), width, DEPTH).select(F.lit("count-min").alias("structure"), "c_custkey", (F.col("estimate") > 0).alias("maybe"))
+    both = bloom.unionByName(cms).join(keys.withColumn("_in", F.lit(True)), "c_custkey", "left")
     return both.groupBy("structure").agg(F.count_if(F.col("maybe") & F.col("_in").isNull()).alias("false_positives"), F.count_if(~F.col("maybe") & F.col("_in").isNotNull()).alias("false_negatives"))
 
 
