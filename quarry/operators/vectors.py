@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,6 +93,69 @@ def probe_cells(queries: DataFrame, rows: DataFrame, key: str, vector: str, cent
     return ranked(found, k)
 
 
+def fit_cells(rows: DataFrame, key: str, vector: str, k: int, recall: float = 0.95, sample: int = 8192, rounds: int = 8) -> tuple[np.ndarray, int]:
+    """(centroids, probes) of an inverted file for cosine, fitted on the `sample` rows with the smallest hashes of their key.
+
+    Lloyd's rounds on unit vectors give as many cells as the square root of the rows, an eighth of the sample at most.
+    The probes are the fewest cells that hold the share `recall` of the k exact neighbours, within the sample, of up to
+    512 of its rows; a sample's neighbours are further apart than those of all rows, so all rows need no more.
+    """
+    held = rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
+    cells = max(1, min(math.isqrt(held.count()), sample // 8))
+    drawn = held.orderBy(F.xxhash64(key), key).limit(sample).toPandas()
+    if drawn.empty:
+        return np.zeros((1, 1)), 1
+    points = unit(matrix(drawn, vector))
+    centres = points[:cells].copy()
+    for _ in range(rounds):
+        own = (points @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, points)
+        filled = np.bincount(own, minlength=cells) > 0
+        centres[filled] = unit(sums[filled])
+    asked = points[-512:]
+    scores, near = asked @ points.T, asked @ centres.T
+    scores[np.arange(len(asked)), np.arange(len(points) - len(asked), len(points))] = -np.inf
+    best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(points) - 1)]
+    if not best.size:
+        return centres, cells
+    place = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, (points @ centres.T).argmax(axis=1)[best], axis=1), axis=None)
+    return centres, int(needed[math.ceil(recall * needed.size) - 1]) + 1
+
+
+def probe_fitted(queries: DataFrame, rows: DataFrame, key: str, vector: str, centres: np.ndarray, probes: int, k: int) -> DataFrame:
+    """nearest by cosine among the rows of the `probes` cells nearest to each query. Rows without a vector aren't found.
+
+    Cells are named by matrix products of batches; a large cell is dealt to blocks of bounded size, and a query goes to
+    all blocks of its cells.
+    """
+
+    def place(count: int, parts: list[int] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for at in range(0, len(f), bl.TILE):
+                    part = f.iloc[at : at + bl.TILE]
+                    near = np.argsort(-(unit(matrix(part, vector)) @ centres.T), axis=1, kind="stable")[:, :count]
+                    out = part.loc[part.index.repeat(near.shape[1])].assign(cell=near.ravel())
+                    if parts is not None:  # a query for each block of each cell
+                        times = np.array(parts)[out["cell"]]
+                        first = np.repeat(np.cumsum(times) - times, times)
+                        out = out.iloc[np.repeat(np.arange(len(out)), times)].assign(_part=np.arange(times.sum()) - first)
+                    yield out
+
+        return run
+
+    asked, held = (df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector) for df in (queries, rows))
+    schema = f"{key} long, {vector} {rows.schema[vector].dataType.simpleString()}, cell long"
+    indexed = held.mapInPandas(place(1), schema)
+    size = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row for each cell
+    parts = [bl.blocks_for(size.get(c, 0), spread=1) for c in range(len(centres))]
+    dealt = indexed.withColumn("_part", F.pmod(F.xxhash64(key), F.element_at(F.lit(parts), (F.col("cell") + 1).cast("int"))))
+    sent = asked.mapInPandas(place(probes, parts), f"{schema}, _part long")
+    return ranked(sent.groupBy("cell", "_part").cogroup(dealt.groupBy("cell", "_part")).applyInPandas(nearest_in(key, vector, k, "cosine"), FOUND), k)
+
+
 def density_clusters(rows: DataFrame, key: str, vector: str, eps: float, least: int) -> DataFrame:
     """key, cluster: density clusters by cosine of eps or more (rounded to 6 places); -1 for noise.
 

@@ -52,6 +52,15 @@ def test_bloom_has_no_false_negatives_and_cms_no_underestimates(spark):
     assert found.filter("estimate < if(k < 10, 2, 1)").count() == 0
 
 
+def test_sizes_follow_the_keys(spark):
+    for n in (300, 3000):  # the formula holds for many keys: a filter of ten bits is coarser
+        keys, others = spark.range(n).withColumnRenamed("id", "k"), spark.range(10_000, 12_000).withColumnRenamed("id", "k")
+        size, width = sketches.bloom_size(n, 0.01), sketches.cms_width(n, 0.01, 4)
+        assert sketches.bloom_probe(others, "k", sketches.bloom_build(keys, "k", *size), *size).filter("maybe").count() < 60
+        assert sketches.cms_estimate(others, "k", sketches.cms_build(keys, "k", width, 4), width, 4).filter("estimate > 0").count() < 60
+    assert sketches.bloom_size(0, 0.01) == sketches.bloom_size(1, 0.01) and sketches.cms_width(0, 0.01, 4) == 3
+
+
 def test_dgim_error_bound():
     for density in (1, 2, 5):
         d, bits = sketches.Dgim(100), []
@@ -318,3 +327,39 @@ def test_filters_reach_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_totalprice > 1000").select("o_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in plan and "o_orderpriority" not in plan
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_fitted_cells_reach_their_recall(spark, folder):
+    from quarry.plans.catalog import queries
+
+    table = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").toPandas()
+    ids, v = table["vec_id"].to_numpy(), vectors.unit(vectors.matrix(table, "embedding"))
+    asked = np.flatnonzero(ids % 50 == 0)
+    scores = np.round(v[asked] @ v.T, 6)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = {(ids[q], ids[j]): scores[i, j] for i, q in enumerate(asked) for j in np.lexsort((ids, -scores[i]))[:10]}
+    got = {(r["query"], r["neighbour"]): r["score"] for r in queries()["ivf_kmeans"](spark, f"/root/testdata/{folder}").collect()}
+    assert len(want.keys() & got.keys()) >= 0.9 * len(want)
+    assert len(got) == len(want) and all(abs(got[p] - want[p]) < 2e-6 for p in want.keys() & got.keys())
+
+
+def test_fitted_cells_of_odd_tables(spark):
+    schema = "k int, v array<float>"
+    for rows in ([], [(1, [1.0, 0.0])], [(1, None)], [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, None)]):
+        df = spark.createDataFrame(rows, schema)
+        centres, probes = vectors.fit_cells(df, "k", "v", 2)
+        found = vectors.probe_fitted(df, df, "k", "v", centres, len(centres), 2).collect()
+        held = [k for k, v in rows if v]
+        assert {(r["query"], r["neighbour"]) for r in found} == {(a, b) for a in held for b in held if a != b}
+        assert 1 <= probes <= len(centres)
+
+
+def test_blocks_of_a_large_cell(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(rng.normal(size=(300, 4)))]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    monkeypatch.setattr(vectors.bl, "blocks_for", lambda rows, **_: max(1, rows // 40))
+    found = vectors.probe_fitted(df, df, "k", "v", np.eye(4)[:2], 2, 3).select("query", "neighbour", "score", "place")
+    exact = vectors.nearest(df, df, "k", "v", 3).select("query", "neighbour", "score", "place")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
