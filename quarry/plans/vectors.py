@@ -170,6 +170,35 @@ def anomaly_tail(t: Tables) -> DataFrame:
     return c.join(far, "cell").join(density(t).filter("cluster = -1"), "vec_id").filter(F.round("distance", 9) >= F.round("q", 9)).select("vec_id", "cell", F.round("distance", 5).alias("distance"))
 
 
+NEARS, TAILS = (0.35, 0.5, 0.75), (0.99, 0.95, 0.9)  # each setting's anomalies are among the next one's
+
+
+def grid_sql() -> str:
+    noise = ", ".join(
+        f"nb{i} AS (SELECT x.k AS a, y.k AS b FROM {V} x JOIN {V} y ON x.k <> y.k WHERE round(list_cosine_similarity(x.v, y.v), 6) >= {eps}), co{i} AS (SELECT a FROM nb{i} GROUP BY a HAVING count(*) + 1 >= {MIN_PTS}), no{i} AS (SELECT k FROM {V} WHERE k NOT IN (SELECT a FROM co{i}) AND k NOT IN (SELECT a FROM nb{i} WHERE b IN (SELECT a FROM co{i})))"
+        for i, eps in enumerate(NEARS)
+    )
+    far = ", ".join(f"quantile_cont(sqrt(d), {q}) AS q{j}" for j, q in enumerate(TAILS))
+    flags = ", ".join([f"k IN (SELECT k FROM no{i}) AS n{i}" for i in range(3)] + [f"round(sqrt(d), 9) >= round(q{j}, 9) AS d{j}" for j in range(3)])
+    cells = " UNION ALL ".join(f"SELECT {e} AS eps, {q} AS quantile, count(*) FILTER (WHERE n{i} AND d{j}) AS anomalies, count(*) FILTER (WHERE n{i} AND d{j} AND NOT (n{min(i + 1, 2)} AND d{min(j + 1, 2)})) AS not_nested FROM fl" for i, e in enumerate(NEARS) for j, q in enumerate(TAILS))
+    return f"WITH {km_sql()}, {noise}, far AS (SELECT cell, {far} FROM af GROUP BY 1), fl AS (SELECT {flags} FROM af JOIN far USING (cell)) SELECT CAST(eps AS DOUBLE) AS eps, CAST(quantile AS DOUBLE) AS quantile, anomalies, not_nested FROM ({cells})"
+
+
+@query(grid_sql())
+def anomaly_grid(t: Tables) -> DataFrame:
+    """Anomalies by eps and quantile, and how many of them the next looser setting loses (none: the sets are nested)."""
+    c = clustered(t).select("vec_id", "cell", F.sqrt("distance2").alias("distance"))
+    far = c.groupBy("cell").agg(F.percentile("distance", F.lit(list(TAILS))).alias("q"))
+    flags = c.join(far, "cell").select("vec_id", *[(F.round("distance", 9) >= F.round(F.col("q")[j], 9)).alias(f"d{j}") for j in range(3)])
+    for i, eps in enumerate(NEARS):
+        noise = vc.density_clusters(t.embeddings, "vec_id", "embedding", eps, MIN_PTS).select("vec_id", (F.col("cluster") == -1).alias(f"n{i}"))
+        flags = flags.join(noise, "vec_id")
+    hit = lambda i, j: F.col(f"n{min(i, 2)}") & F.col(f"d{min(j, 2)}")
+    grid = [(i, j) for i in range(3) for j in range(3)]
+    sums = flags.agg(*[F.count_if(hit(i, j)).alias(f"a{i}{j}") for i, j in grid], *[F.count_if(hit(i, j) & ~hit(i + 1, j + 1)).alias(f"l{i}{j}") for i, j in grid])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(NEARS[i]).alias("eps"), F.lit(TAILS[j]).alias("quantile"), F.col(f"a{i}{j}").alias("anomalies"), F.col(f"l{i}{j}").alias("not_nested")) for i, j in grid])))
+
+
 @query(f"""WITH {km_sql()}, n AS (SELECT label AS a, cell AS b, count(*) AS n FROM af JOIN embeddings ON vec_id = k GROUP BY ALL), t AS (SELECT sum(n) AS t, sum(n * (n - 1) / 2) AS bo FROM n), ra AS (SELECT a, sum(n) AS na FROM n GROUP BY 1), rb AS (SELECT b, sum(n) AS nb FROM n GROUP BY 1),
 mi AS (SELECT sum(n / t * ln(n * t / (na * nb))) AS mi FROM n JOIN ra USING (a) JOIN rb USING (b), t), ha AS (SELECT sum(-na / t * ln(na / t)) AS ha, sum(na * (na - 1) / 2) AS pa FROM ra, t), hb AS (SELECT sum(-nb / t * ln(nb / t)) AS hb, sum(nb * (nb - 1) / 2) AS pb FROM rb, t)
 SELECT round((bo - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 5) AS ari, round(mi / ((ha + hb) / 2), 5) AS nmi FROM t, mi, ha, hb""")
