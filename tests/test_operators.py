@@ -248,6 +248,34 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
         assert [b for _, b in mine] == [b for _, b in best] and [a for a, _ in mine] == pytest.approx([a for a, _ in best], abs=2e-9)
 
 
+def test_equal_baskets_are_compared_once(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    kinds = [[(f"i{i}", float(rnd.choice((0.7, 1.1, 1.4)))) for i in rnd.choice(9, 3, replace=False)] for _ in range(30)]
+    owner = [int(min(rnd.integers(30), rnd.integers(30))) for _ in range(400)]  # from one to many users of a basket
+    train = spark.createDataFrame([(u, i, x) for u, kind in enumerate(owner) for i, x in kinds[kind]], "user long, item string, rating double")
+    compared, run = [], recommend.bl.with_itself
+    monkeypatch.setattr(recommend.bl, "with_itself", lambda rows, *a: compared.append(rows.count()) or run(rows, *a))
+    monkeypatch.setattr(recommend, "USERS", 10)
+    monkeypatch.setattr(recommend, "TILE", 4)
+    reps, who = recommend.fold(train, 3)
+    assert reps.select("user").distinct().count() == sum(min(5, owner.count(b)) for b in range(30)) and who.count() == 400
+    got = {}
+    for r in recommend.unfold(recommend.unseen(recommend.user_cf(reps, 3), reps), who).collect():
+        got.setdefault(r["user"], {})[r["item"]] = r["score"]
+    assert compared == [len({tuple(sorted(kinds[b])) for b in set(owner)})]
+    unit = [{i: x / math.sqrt(sum(y * y for _, y in kind)) for i, x in kind} for kind in kinds]
+    cosine = [[round(sum(a[i] * b.get(i, 0) for i in a), 9) for b in unit] for a in unit]
+    for u in range(400):
+        near = sorted((-cosine[owner[u]][owner[v]], v) for v in range(400) if v != u and unit[owner[u]].keys() & unit[owner[v]].keys())[:3]
+        want = {}
+        for c, v in near:
+            for i, x in kinds[owner[v]]:
+                if i not in unit[owner[u]]:
+                    want[i] = want.get(i, 0) - c * x
+        total = sum(-c for c, _ in near) + 1e-9
+        assert got.get(u, {}) == pytest.approx({i: s / total for i, s in want.items()}, abs=1e-8)
+
+
 def test_density_clusters_equal_brute_force(spark, monkeypatch):
     rnd = np.random.default_rng(8)
     centres = rnd.normal(size=(5, 6))
