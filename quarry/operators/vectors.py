@@ -219,6 +219,52 @@ def density_clusters(rows: DataFrame, key: str, vector: str, eps: float, least:
     return slim.join(named, "_vector").select(F.col("_key").alias(key), "cluster")
 
 
+def noise(rows: DataFrame, key: str, vector: str, nears: tuple[float, ...], least: int) -> DataFrame:
+    """key, n0, n1, ...: whether the row is noise of density_clusters at each eps of `nears`.
+
+    Noise is no core and near none, which needs no clusters and no links: nodes meet twice for all settings together, once
+    for the counts and once for whether a core is near, and each pair of blocks returns a row for each of its nodes.
+    """
+    slim = rows.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("_vector"))
+    nodes = gr.cut(slim.groupBy("_vector").agg(F.min("_key").alias("node"), F.count("*").alias("copies")))
+    blocks, some = bl.blocks_for(nodes.count()), range(len(nears))
+
+    def sums(column: str) -> Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]:
+        """For each node and eps, the sum of a column of arrays (one value for each eps) over the other nodes that are near."""
+
+        def run(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+            a, here = unit(matrix(left, "_vector")), np.stack(left[column].tolist()).astype(np.float64)
+            b, there = (a, here) if same else (unit(matrix(right, "_vector")), np.stack(right[column].tolist()).astype(np.float64))
+            mine, theirs = np.zeros((len(a), len(nears))), np.zeros((len(b), len(nears)))
+            for at in range(0, len(a), bl.TILE):
+                scores = a[at : at + bl.TILE] @ b.T
+                for e, eps in enumerate(nears):
+                    found = scores >= eps - 1e-6
+                    i, j = np.nonzero(found & (scores < eps + 1e-6))
+                    found[i, j] = np.round(scores[i, j], 6) >= eps
+                    if same:
+                        inside = np.arange(at, min(at + bl.TILE, len(a)))
+                        found[inside - at, inside] = False
+                    found = found.astype(np.float64)
+                    mine[at : at + bl.TILE, e] = found @ there[:, e]
+                    if not same:
+                        theirs[:, e] += here[at : at + bl.TILE, e] @ found
+            out = [(left, mine)] if same else [(left, mine), (right, theirs)]
+            return pd.concat([pd.DataFrame({"node": f["node"], "n": list(n.astype(np.int64))}) for f, n in out], ignore_index=True)
+
+        return run
+
+    def met(table: DataFrame, column: str) -> DataFrame:
+        found = bl.with_itself(table.select("node", "_vector", column), "node", sums(column), "node long, n array<long>", blocks)
+        return found.groupBy("node").agg(*[F.sum(F.col("n")[e]).alias(f"n{e}") for e in some])
+
+    own = F.when(F.forall("_vector", lambda x: x == 0), F.lit(1)).otherwise(F.col("copies"))
+    around = met(nodes.withColumn("weight", F.array(*[F.col("copies")] * len(nears))), "weight")
+    marked = gr.cut(nodes.join(around, "node").select("node", "_vector", F.array(*[(F.col(f"n{e}") + own >= least).cast("long") for e in some]).alias("core")))
+    named = marked.join(met(marked, "core"), "node").select("_vector", *[((F.col("core")[e] == 0) & (F.col(f"n{e}") == 0)).alias(f"n{e}") for e in some])
+    return slim.join(named, "_vector").select(F.col("_key").alias(key), *[f"n{e}" for e in some])
+
+
 def assign(rows: DataFrame, vector: str, centroids: list[tuple[int, list[float]]]) -> DataFrame:
     """Add `cell` and `distance2`: the nearest of a bounded list of centroids (ties: the smaller cell)."""
     table = F.array(*[F.struct(F.lit(c).alias("cell"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for c, v in centroids])

@@ -190,9 +190,7 @@ def anomaly_grid(t: Tables) -> DataFrame:
     c = clustered(t).select("vec_id", "cell", F.sqrt("distance2").alias("distance"))
     far = c.groupBy("cell").agg(F.percentile("distance", F.lit(list(TAILS))).alias("q"))
     flags = c.join(far, "cell").select("vec_id", *[(F.round("distance", 9) >= F.round(F.col("q")[j], 9)).alias(f"d{j}") for j in range(3)])
-    for i, eps in enumerate(NEARS):
-        noise = vc.density_clusters(t.embeddings, "vec_id", "embedding", eps, MIN_PTS).select("vec_id", (F.col("cluster") == -1).alias(f"n{i}"))
-        flags = flags.join(noise, "vec_id")
+    flags = flags.join(vc.noise(t.embeddings, "vec_id", "embedding", NEARS, MIN_PTS), "vec_id")
     hit = lambda i, j: F.col(f"n{min(i, 2)}") & F.col(f"d{min(j, 2)}")
     grid = [(i, j) for i in range(3) for j in range(3)]
     sums = flags.agg(*[F.count_if(hit(i, j)).alias(f"a{i}{j}") for i, j in grid], *[F.count_if(hit(i, j) & ~hit(i + 1, j + 1)).alias(f"l{i}{j}") for i, j in grid])

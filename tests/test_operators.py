@@ -192,6 +192,29 @@ def test_nearest_and_blocks(spark):
     assert [(r["neighbour"], r["score"]) for r in got] == [(9, 1.0), (11, 1.0)]
 
 
+def test_noise_is_that_of_density_clusters(spark, monkeypatch):
+    rnd = np.random.default_rng(10)
+    points = rnd.normal(size=(500, 5))
+    points[40:60], points[70], points[71], points[72:74] = points[40], 0, 0, points[74]  # copies, and zeros that are near nothing
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "k long, v array<double>")
+    monkeypatch.setattr(vectors.bl, "blocks_for", lambda n, *_, **__: 5)
+    monkeypatch.setattr(vectors.bl, "TILE", 50)
+    got = {r["k"]: r[1:] for r in vectors.noise(df, "k", "v", (0.8, 0.95, 0.99), 4).collect()}
+    unit = points / np.maximum(np.linalg.norm(points, axis=1), 1e-300)[:, None]
+    cosine = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(cosine, -1)
+    for e, eps in enumerate((0.8, 0.95, 0.99)):
+        near = cosine >= eps
+        core = near.sum(axis=1) + 1 >= 4
+        want = ~core & ~(near & core).any(axis=1)
+        assert 0 < want.sum() < 500 and [got[i][e] for i in range(500)] == want.tolist()
+
+
+def test_anomaly_grid_makes_no_clusters(spark, monkeypatch):
+    monkeypatch.setattr(vectors.gr, "connected_components", None)
+    assert catalog.queries()["anomaly_grid"](spark, "/root/testdata/sf0.001").count() == 9
+
+
 def test_svd_equals_numpy(spark):
     rng = np.random.default_rng(4)
     a = np.where(rng.random((30, 20)) < 0.3, rng.normal(size=(30, 20)), 0) + np.outer(np.linspace(1, 3, 30), np.linspace(2, 1, 20)) * (rng.random((30, 20)) < 0.5)
