@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quarry.functions import text
+from quarry.functions import hashing, text
 from quarry.operators import graphs, patterns, recommend, relational, resolution, sketches, spectral, vectors
 from quarry.operators import similarity as sm
 from quarry.plans import catalog
@@ -414,3 +414,19 @@ def test_blocks_of_a_large_cell(spark, monkeypatch):
     found = vectors.probe_fitted(df, df, "k", "v", np.eye(4)[:2], 2, 3).select("query", "neighbour", "score", "place")
     exact = vectors.nearest(df, df, "k", "v", 3).select("query", "neighbour", "score", "place")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_resamples_are_hashed_in_numpy(spark):
+    keys = ["", "7", "12345", "é" * 20, "x" * 51, "x" * 52, "x" * 53, "x" * 80]
+    hashed = hashing.unit_hashes(keys, range(200))
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").crossJoin(spark.range(200).withColumnRenamed("id", "b"))
+    for r in rows.select("k", "b", hashing.unit_hash(F.col("k"), F.col("b")).alias("u")).collect():
+        assert hashed(r["b"])[keys.index(r["k"])] == r["u"]
+    each = spark.createDataFrame([(i, float(i % 3)) for i in range(50)] + [(None, 1.0), (50, None)], "k long, d double")
+    assert "Generate" not in recommend.paired_bootstrap(each, "k", "d", 40)._jdf.queryExecution().toString()  # no row for each key and resample
+    means = []
+    for b in range(40):
+        times = {k: sum(hashing.unit_hashes([str(k)], range(40))(b)[0] > c for c in recommend.POISSON) for k in range(51)}
+        means.append(round(sum(times[i] * (i % 3) for i in range(50)) / sum(times.values()), 9))
+    row = recommend.paired_bootstrap(each, "k", "d", 40).first()
+    assert (row["low"], row["high"]) == pytest.approx(tuple(np.quantile(means, (0.025, 0.975))), abs=2e-9)

@@ -51,7 +51,7 @@ def repeated(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["user_cf_topk", "ranking_metrics", "hybrid_topk"])
+@pytest.mark.parametrize("name", ["user_cf_topk", "ranking_metrics", "bootstrap_precision", "hybrid_topk"])
 def test_equal_baskets_are_scored_twice_at_most(spark, repeated, monkeypatch, name):
     folder, con = repeated
     rank, ranked = recommend.top_k, []
