@@ -4,12 +4,14 @@ Every 50-byte string goes to the shard of its minimizer, the least hash of its 1
 Minimizers go first, as 32-bit hashes; neighbouring strings whose minimizer occurs in several documents then follow as
 one fragment. A group of documents first drops fragments that it has seen in a smaller document, so a passage that many
 documents share leaves each group once. A shard sorts the suffixes of its fragments (Larsson-Sadakane doubling), takes
-common prefixes of neighbours (Kasai), and merges with the next shards of the same minimizer by binary search.
+common prefixes of neighbours (Kasai), and merges with the next shards of the same minimizer by binary search. Fragments
+of a minimizer that fills more than one suffix array are cut again by further minimizers, so that few have to be merged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -25,7 +27,10 @@ from quarry.llm.tokenize import spread
 DEPTH, GRAM = 50, 16
 SLOT = 21  # bits of a position within a suffix array
 SHARD = 1 << 18  # bytes of a suffix array: its ranks stay in the processor's cache
+PIECE = 1 << 22  # bytes whose minimizers are computed at once
+LEVELS = 4  # further minimizers at most, one for each further step of STEPS
 NONE = np.iinfo(np.int64).max
+COMPRESSOR, DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def words(raw: np.ndarray) -> np.ndarray:
@@ -141,11 +146,11 @@ class Shard:
 
 def packed(*columns: np.ndarray) -> bytes:
     head = np.array([len(c) * c.itemsize for c in columns], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.tobytes() for c in columns))
+    return COMPRESSOR.compress(head + b"".join(c.tobytes() for c in columns))
 
 
 def unpacked(payload: bytes, *types: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
+    raw = DECOMPRESSOR.decompress(payload)
     at, out = 8 * len(types), []
     for size, kind in zip(np.frombuffer(raw, "<u8", len(types)), types, strict=True):
         out.append(np.frombuffer(raw, kind, int(size) // np.dtype(kind).itemsize, at))
@@ -153,6 +158,34 @@ def unpacked(payload: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def minimizer_runs(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of raw (ends 64 bytes after the last one) as runs of strings that share a minimizer: start, size, part, and the minimizer's hash.
+
+    Each level has another order of the grams.
+    """
+    word = words(raw)
+    least = mix(word[:-8] * STEPS[0] ^ mix(word[8:] + STEPS[1]))
+    del word
+    if level:
+        least = mix(least + STEPS[level])
+    span, grams = 1, DEPTH - GRAM + 1
+    while span < grams:
+        step = min(span, grams - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    opens = spread(begins, np.maximum(sizes - DEPTH + 1, 0))
+    least = least[opens]
+    heads = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (opens[1:] != opens[:-1] + 1)]) if len(opens) else np.zeros(0, np.int64)
+    start = opens[heads]
+    return start, np.diff(heads, append=len(opens)) + DEPTH - 1, np.searchsorted(begins + sizes, start, "right"), least[heads]
+
+
+def by_bytes(sizes: np.ndarray, most: int) -> list[slice]:
+    """Neighbours in slices of about `most` bytes, one of them at least."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True) if b > a]
+
+
 FRAGMENTS, SPANS = ("<u4", "<i8", "<i4", "<i4", "u1"), ("<i8", "<u4", "<u4")
 
 
@@ -163,21 +196,16 @@ class Runs:
         sizes = np.array([len(d) for d in docs], np.int64)
         self.raw = raw = np.frombuffer(b"".join(docs) + bytes(64), np.uint8)
         self.ids, self.begins = ids, np.cumsum(sizes) - sizes
-        word = words(raw)
-        least = mix(word[:-8] * STEPS[0] ^ mix(word[8:] + STEPS[1]))
-        del word
-        span, grams = 1, DEPTH - GRAM + 1
-        while span < grams:
-            step = min(span, grams - span)
-            least = np.minimum(least[:-step], least[step:])
-            span += step
-        opens = spread(self.begins, np.maximum(sizes - DEPTH + 1, 0))
-        least = least[opens]
-        heads = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (opens[1:] != opens[:-1] + 1)]) if len(opens) else np.zeros(0, np.int64)
-        self.start, self.size = opens[heads], np.diff(heads, append=len(opens)) + DEPTH - 1
-        self.owner = np.searchsorted(self.begins + sizes, self.start, "right")
+        found = []
+        for part in by_bytes(sizes, PIECE):
+            base = self.begins[part][0]
+            start, size, owner, least = minimizer_runs(raw[base : base + sizes[part].sum() + 64], self.begins[part] - base, sizes[part])
+            found.append((start + base, size, owner + part.start, least))
+        if not found:
+            found = [minimizer_runs(raw, self.begins, sizes)]
+        self.start, self.size, self.owner, least = (np.concatenate(c) for c in zip(*found, strict=True))
         # a minimizer is known by its shard and 32 bits; two that share these only cost work
-        hashed = mix(least[heads] + STEPS[2])
+        hashed = mix(least + STEPS[2])
         self.key = (hashed % np.uint64(shards)) << np.uint64(32) | hashed >> np.uint64(32)
         self.keys, self.of_run = np.unique(self.key, return_inverse=True)
         self.shard = (self.keys >> np.uint64(32)).astype(np.int64)
@@ -271,6 +299,18 @@ def sender(shards: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def again_by_minimizer(raw: np.ndarray, begin: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, owner: np.ndarray, key: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """Fragments cut by a further minimizer, with keys by the former and this one; two that share a key only cost work."""
+    found = []
+    for part in by_bytes(size, PIECE):
+        ends = np.cumsum(size[part])
+        text = np.concatenate([raw[spread(begin[part], size[part])], np.zeros(64, np.uint8)])
+        at, length, of, least = minimizer_runs(text, ends - size[part], size[part], level)
+        offset, of = at - (ends - size[part])[of], of + part.start
+        found.append((begin[of] + offset, start[of] + offset, length, doc[of], owner[of], mix(least + mix(key[of] + STEPS[2]))))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def repeats(payloads: list[bytes], owners: list[int]) -> list[np.ndarray]:
     """Spans (document, start, length, owner) of strings that start in a smaller document, among the fragments of a shard."""
     tables = []
@@ -279,16 +319,30 @@ def repeats(payloads: list[bytes], owners: list[int]) -> list[np.ndarray]:
         tables.append((minimizer, np.cumsum(doc), np.cumsum(start.astype(np.int64)), size.astype(np.int64), raw, np.full(len(doc), owner)))
     minimizer, doc, start, size, raw, owner = (np.concatenate(c) for c in zip(*tables, strict=True))
     begin = np.cumsum(size) - size
-    order = np.argsort(minimizer, kind="stable")
-    heads = np.flatnonzero(np.r_[True, minimizer[order][1:] != minimizer[order][:-1]])
-    shared = np.minimum.reduceat(doc[order], heads) != np.maximum.reduceat(doc[order], heads)
-    chosen = order[np.repeat(shared, np.diff(heads, append=len(order)))]
-    # of equal fragments the one of the smallest document stands for all in the arrays; those of larger ones are repeats
-    chosen = chosen[np.lexsort((doc[chosen], minimizer[chosen]))]
-    first = first_equal(raw, begin[chosen], size[chosen])
-    again = doc[chosen] > doc[chosen][first]
-    gone, chosen = chosen[again], chosen[~again]
-    out: list[list[np.ndarray]] = [[doc[gone], start[gone], size[gone], owner[gone]]]
+    out: list[list[np.ndarray]] = []
+    parts, key = [], minimizer.astype(np.uint64)
+    for level in range(1, LEVELS + 2):
+        order = np.lexsort((doc, key))
+        heads, count = runs_of(key[order])
+        shared = doc[order[heads]] != doc[order[heads + count - 1]]
+        chosen = order[np.repeat(shared, count)]
+        # of equal fragments the one of the smallest document stands for all in the arrays; those of larger ones are repeats
+        first = first_equal(raw, begin[chosen], size[chosen])
+        again = doc[chosen] > doc[chosen][first]
+        gone, chosen = chosen[again], chosen[~again]
+        out.append([doc[gone], start[gone], size[gone], owner[gone]])
+        heads, count = runs_of(key[chosen])
+        large = np.repeat(np.add.reduceat(size[chosen], heads) > SHARD, count) if len(heads) else np.zeros(0, bool)
+        if level > LEVELS:
+            large[:] = False
+        rest = chosen[~large]
+        parts.append((key[rest], doc[rest], start[rest].astype(np.int64), size[rest], begin[rest], owner[rest], np.full(len(rest), level)))
+        if not large.any():
+            break
+        begin, start, size, doc, owner, key = again_by_minimizer(raw, *(c[chosen[large]] for c in (begin, start, size, doc, owner, key)), level)
+    key, doc, start, size, begin, owner, level = (np.concatenate(c) for c in zip(*parts, strict=True))
+    minimizer = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (level[1:] != level[:-1])]) if len(key) else np.zeros(0, np.int64)
+    chosen = np.arange(len(size))
     # fragments longer than a suffix array are cut so that the parts overlap in all but one byte of a string
     long = size[chosen] > SHARD // 2
     if long.any():
@@ -301,9 +355,12 @@ def repeats(payloads: list[bytes], owners: list[int]) -> list[np.ndarray]:
     else:
         begin_c, start_c, size_c = begin[chosen], start[chosen].astype(np.int64), size[chosen]
     minimizer, doc, owner = minimizer[chosen], doc[chosen], owner[chosen]
+    heads, count = runs_of(minimizer)
+    whole = np.zeros(len(size_c), np.int64)
+    whole[heads] = np.add.reduceat(size_c, heads) if len(heads) else 0
     bounds, total = [0], 0
-    for i, n in enumerate(size_c.tolist()):
-        if total + n > SHARD:
+    for i, (n, group) in enumerate(zip(size_c.tolist(), whole.tolist(), strict=True)):
+        if total + max(n, group) > SHARD and total:  # an array opens with a minimizer, if all its fragments don't fit
             bounds.append(i)
             total = 0
         total += n
@@ -383,20 +440,26 @@ def remover(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
 
+def shards_for(total: int, bytes_per_shard: int) -> int:
+    """Shards of bytes_per_shard, up to 250; then their bytes grow like the root of the input, to 4 times as many."""
+    return int(total / (bytes_per_shard * min(4.0, max(1.0, math.sqrt(total / (250 * bytes_per_shard))))))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False, bytes_per_shard: int = 4_000_000, least_shards: int = 64) -> DataFrame:
     """Remove each byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
     Texts are UTF-8 bytes; strings never cross documents and are judged on the input. Returns doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256, and `kept`, the remaining bytes, if with_text is set.
 
-    The number of shards follows the bytes of the input, so a task's memory doesn't. Null text: empty. Rows with null
+    The number of shards follows the bytes of the input, so a task's memory doesn't. Each owner group sends each shard a
+    row, so beyond 250 shards these get up to 4 times as many bytes. Null text: empty. Rows with null
     id stay whole and never count as the smaller document. Rows that share an id are one document: neither is smaller,
     and what is removed from one is removed at the same place of the other. Texts under 50 bytes stay. Empty input:
     no rows. Further columns aren't read.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     total = slim.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(least_shards, int(total) // bytes_per_shard)
+    shards = max(least_shards, shards_for(int(total), bytes_per_shard))
     # the same exchange of the texts by owner group serves all three steps that need them
     owned = slim.withColumn("owner", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("owner")
     listed = owned.applyInPandas(lean(lister(shards)), "shard long, owner long, payload binary")

@@ -389,6 +389,34 @@ def test_suffix_arrays_split_and_merge(monkeypatch):
         assert covered.sum() == want[2]
 
 
+def test_frequent_minimizers_are_cut_before_arrays_are_merged(monkeypatch):
+    rng = np.random.default_rng(5)
+    pool = [bytes(rng.integers(97, 123, 40).astype(np.uint8)) for _ in range(60)]
+    phrase = bytes(rng.integers(97, 123, 24).astype(np.uint8))
+    docs = [b"".join(pool[i] for i in rng.integers(0, 60, 2)) + phrase + b"".join(pool[i] for i in rng.integers(0, 60, 2)) for _ in range(600)]
+    merges, merge = [], suffix_dedup.Shard.merge
+    monkeypatch.setattr(suffix_dedup, "SHARD", 8000)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 5000)
+    monkeypatch.setattr(suffix_dedup.Shard, "merge", lambda a, b: merges.append(1) or merge(a, b))
+    runs = suffix_dedup.Runs(docs, np.arange(len(docs)), 1)
+    assert np.bincount(runs.of_run, runs.size).max() > 3 * suffix_dedup.SHARD
+    payload = suffix_dedup.packed(runs.key.astype("<u4"), np.diff(runs.owner, prepend=0).astype("<i8"), np.diff(runs.start - runs.begins[runs.owner], prepend=0).astype("<i4"), runs.size.astype("<i4"), runs.raw[suffix_dedup.spread(runs.start, runs.size)])
+    doc, start, size, _ = suffix_dedup.repeats([payload], [0])
+    for (d, _, want, *_) in brute_repeats(list(enumerate(docs))):
+        covered = np.zeros(len(docs[d]), bool)
+        for a, n in zip(start[doc == d], size[doc == d], strict=True):
+            covered[a : a + n] = True
+        assert covered.sum() == want
+    assert len(merges) < 20  # 930 with no further minimizers
+
+
+def test_rows_between_shards_stay_in_proportion(spark, monkeypatch):
+    assert suffix_dedup.shards_for(800_000_000, 4_000_000) == 200
+    for total in (2_000_000_000, 10_000_000_000, 16_000_000_000):
+        assert suffix_dedup.shards_for(total, 4_000_000) ** 2 <= 62_500 * total / 1e9 * 1.01
+    assert suffix_dedup.shards_for(10**12, 4_000_000) == 62_500
+
+
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
