@@ -27,7 +27,7 @@ from quarry.llm.tokenize import spread
 DEPTH, GRAM = 50, 16
 SLOT = 21  # bits of a position within a suffix array
 SHARD = 1 << 18  # bytes of a suffix array: its ranks stay in the processor's cache
-PIECE = 1 << 22  # bytes whose minimizers are computed at once
+PIECE = 1 << 19  # bytes whose minimizers are computed at once
 LEVELS = 4  # further minimizers at most, one for each further step of STEPS
 NONE = np.iinfo(np.int64).max
 COMPRESSOR, DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
